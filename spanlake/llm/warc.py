@@ -234,10 +234,10 @@ def op7_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
 k AS (SELECT page_id, url, strlen(body) AS n, sha1(body) AS h FROM p),
-b AS (SELECT *, list_aggregate(list_transform(range(1, 41), i -> ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(h, i, 1))]), 'string_agg', '') AS bits,
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(h, i, 1))]), 'string_agg', '') AS bits,
   max(page_id) OVER (PARTITION BY h) AS rep FROM k)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
     + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
     + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = rep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = rep THEN NULL ELSE rep END AS refers_to, url
