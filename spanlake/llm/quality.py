@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._base import map_batches, materialize, read
@@ -37,6 +37,8 @@ NAMES = ("word_length", "symbols", "dup_lines", "repeats", "variety")
 FLOOR = (0.18, 0.02, 0.06, 0.06, 0.06)
 UNIT = 10_000
 CLASSES = 64
+#: Groups (languages times sources) up to which their estimates are broadcast, a few hundred bytes each.
+BROADCAST_GROUPS = 100_000
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -152,34 +154,26 @@ def robust_estimates(stats: DataFrame, group: list[str], xs: list[str], *, steps
     # Start: medians and median absolute deviations, by counts of narrow classes of each coordinate.
     middle = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)]).filter(F.col("n") >= min_group)
     middle = materialize(middle, "medians")
-    spread = rows.join(F.broadcast(middle), "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)])
+    few = F.broadcast if middle.count() <= BROADCAST_GROUPS else lambda df: df
+    spread = rows.join(few(middle), "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)])
     found = []
-    for r in middle.join(spread, "key").toLocalIterator():
+    for r in middle.join(spread, "key").collect():
         scale = [(1.4826 * r[f"d{i}"]) ** 2 + (FLOOR[i] * UNIT) ** 2 for i in range(p)]
         found.append((r["key"], [float(r[f"m{i}"]) for i in range(p)], np.diag(1 / np.array(scale)).flatten().tolist()))
     for step in range(steps + 1):
-        near = rows.join(F.broadcast(table(found)), "key").withColumn("d2", distance(xs))
+        near = rows.join(few(table(found)), "key").withColumn("d2", distance(xs))
         if step < steps:
             klass = F.floor(F.log(F.col("d2") + 1e-3) * CLASSES).cast("int")
             counted = near.groupBy("key", klass.alias("klass")).agg(F.count("*").alias("n"))
-            limits: dict[str, int] = {}
-            held: dict[str, list[tuple[int, int]]] = {}
-            for r in counted.toLocalIterator():
-                held.setdefault(r["key"], []).append((r["klass"], r["n"]))
-            for k, x in held.items():
-                want, got = half * sum(n for _, n in x), 0
-                for c, n in sorted(x):
-                    got += n
-                    if got >= want:
-                        limits[k] = c
-                        break
-            bound = spark.createDataFrame(list(limits.items()), "key string, most int")
-            kept = near.withColumn("klass", klass).join(F.broadcast(bound), "key").filter("klass <= most")
+            by = Window.partitionBy("key")
+            upto = counted.withColumns({"upto": F.sum("n").over(by.orderBy("klass")), "total": F.sum("n").over(by)})
+            bound = upto.filter(F.col("upto") >= half * F.col("total")).groupBy("key").agg(F.min("klass").alias("most"))
+            kept = near.withColumn("klass", klass).join(few(bound), "key").filter("klass <= most")
         else:
             kept = near.filter(F.col("d2") <= cut)
         # consistency: the central share of a normal has a smaller covariance
         grow = 1.35 if step < steps else 1.05
-        found = [(r["key"], *estimate(r, p, grow)) for r in kept.groupBy("key").agg(*moments(xs)).toLocalIterator()]
+        found = [(r["key"], *estimate(r, p, grow)) for r in kept.groupBy("key").agg(*moments(xs)).collect()]
     return table(found)
 
 
@@ -191,7 +185,7 @@ def verdicts(stats: DataFrame, *, cut: float = CUT, min_group: int = MIN_GROUP,
     key = F.to_json(F.struct(F.col("lang").alias("g0"), F.col("source").alias("g1")), {"ignoreNullFields": "false"})
     own = robust_estimates(usable, ["lang", "source"], xs, steps=steps, half=half, min_group=min_group, cut=cut)
     every = robust_estimates(usable, [], xs, steps=steps, half=half, min_group=1, cut=cut).select(F.col("mean").alias("mean_all"), F.col("inverse").alias("inverse_all"))
-    rows = stats.withColumn("key", key).join(F.broadcast(own), "key", "left").join(F.broadcast(every), F.lit(True), "left")
+    rows = stats.withColumn("key", key).join(own if own.count() > BROADCAST_GROUPS else F.broadcast(own), "key", "left").join(F.broadcast(every), F.lit(True), "left")
     rows = rows.withColumns({"mean": F.coalesce("mean", "mean_all"), "inverse": F.coalesce("inverse", "inverse_all")})
     rows = rows.withColumn("distance2", distance(xs))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cut)).drop("key", "mean", "inverse", "mean_all", "inverse_all")
