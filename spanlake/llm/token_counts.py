@@ -1,6 +1,6 @@
 """Token counts by separator scan over flat, unindexed token files.
 
-``write_token_files`` lays documents out as bare little-endian uint32 ids, each document
+``write_token_files`` lays documents out as bare little-endian ids of two or four bytes, each document
 followed by an end-of-document id, with no index of any kind. ``scan_token_files`` finds the
 documents again: files are cut into blocks of a fixed number of ids, every block is searched
 for separators with one vectorised comparison, and a prefix scan over the blocks stitches
@@ -9,7 +9,8 @@ documents that cross block boundaries.
 Defined results: a null or empty text is a document of zero tokens; equal rows are separate
 documents; an empty table gives no files and no rows; bytes after the last separator of a
 file form one open document (``closed`` false) unless there are none. An id equal to the
-separator inside a document would split it, so writing such a document fails.
+separator inside a document would split it, so writing such a document fails, as does an id too
+large for the width.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from .bpe import Encoder, default_tokenizer
 
 #: End-of-document id: one past the vocabulary's ordinary tokens.
 EOD = 50256
-#: Ids in a block: 4 MB of file.
+#: Bytes of an id in the files that ``count_tokens`` writes: vocabularies under 65,536 fit two.
+ID_BYTES = 2
+#: Ids in a block: 2 or 4 MB of file.
 BLOCK_IDS = 1 << 20
 MANIFEST = "doc_id long, file string, ordinal long"
 
 
-def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, eod: int = EOD) -> DataFrame:
+def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, eod: int = EOD, id_bytes: int = 4) -> DataFrame:
     """Write one flat file per task under ``path``; return which document stands where (file, ordinal).
 
     A task that is run again writes another file; the manifest names those that count.
@@ -44,7 +47,8 @@ def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_
 
         from pyarrow import fs
 
-        encode, mark, ordinal, name, sink = Encoder.of(vocabulary).encode, np.array([eod], "<u4").tobytes(), 0, "", None
+        encode, kind, ordinal, name, sink = Encoder.of(vocabulary).encode, f"<u{id_bytes}", 0, "", None
+        mark = np.array([eod], kind).tobytes()
         try:
             for batch in batches:
                 for part in pieces(batch, 1):
@@ -53,10 +57,14 @@ def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_
                         store.create_dir(folder, recursive=True)
                         name = f"{uuid.uuid4().hex}.bin"
                         sink = store.open_output_stream(f"{folder}/{name}")
-                    ids = encode([t or "" for t in part.column(1).to_pylist()])
-                    if any(mark in x and (np.frombuffer(x, "<u4") == eod).any() for x in ids):
+                    ids = [np.frombuffer(x, "<u4") for x in encode([t or "" for t in part.column(1).to_pylist()])]
+                    every = np.concatenate(ids)
+                    if (every == eod).any():
                         raise ValueError(f"a document holds the separator id {eod}")
-                    sink.write(mark.join(ids) + mark)
+                    if len(every) and every.max() >> (8 * id_bytes):
+                        raise ValueError(f"an id does not fit {id_bytes} bytes")
+                    for x in ids:
+                        sink.write(x.astype(kind).tobytes() + mark)
                     n = len(ids)
                     yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([name] * n), pa.array(range(ordinal, ordinal + n), pa.int64())], schema=out)
                     ordinal += n
@@ -67,15 +75,15 @@ def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_
     return df.select(id_col, text_col).mapInArrow(run, struct)
 
 
-def scan_token_files(spark: SparkSession, path: str, *, eod: int = EOD, block_ids: int = BLOCK_IDS) -> DataFrame:
+def scan_token_files(spark: SparkSession, path: str, *, eod: int = EOD, block_ids: int = BLOCK_IDS, id_bytes: int = 4) -> DataFrame:
     """One row per document found: file, ordinal, start (ids before it), n_tokens, closed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
-    return scan_blocks(files, eod=eod, block_ids=block_ids)
+    return scan_blocks(files, eod=eod, block_ids=block_ids, id_bytes=id_bytes)
 
 
-def scan_blocks(files: DataFrame, *, eod: int = EOD, block_ids: int = BLOCK_IDS) -> DataFrame:
+def scan_blocks(files: DataFrame, *, eod: int = EOD, block_ids: int = BLOCK_IDS, id_bytes: int = 4) -> DataFrame:
     """As ``scan_token_files`` for a table of (path, length in bytes)."""
-    size = 4 * block_ids
+    size = id_bytes * block_ids
     blocks = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block"))
     struct, out = arrow_schema("file string, block long, size long, ends array<int>")
 
@@ -88,7 +96,7 @@ def scan_blocks(files: DataFrame, *, eod: int = EOD, block_ids: int = BLOCK_IDS)
             for path, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, inner = fs.FileSystem.from_uri(path if "://" in path else unquote(path.replace("file:", "file://", 1)))
                 with store.open_input_file(inner) as f:
-                    ids = np.frombuffer(f.read_at(min(size, length - block * size), block * size), "<u4")
+                    ids = np.frombuffer(f.read_at(min(size, length - block * size), block * size), f"<u{id_bytes}")
                 ends = np.flatnonzero(ids == eod).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([block]), pa.array([len(ids)]), pa.array([ends], pa.list_(pa.int32()))], schema=out)
 
@@ -116,14 +124,14 @@ def scan_blocks(files: DataFrame, *, eod: int = EOD, block_ids: int = BLOCK_IDS)
     return closed.unionByName(tail)
 
 
-def count_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def count_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_ids: int = BLOCK_IDS, id_bytes: int = ID_BYTES) -> DataFrame:
     """Write the documents as flat token files, scan those, and name the documents found: doc_id, file, ordinal, start, n_tokens."""
     spark = df.sparkSession
     path = new_path(spark, "tokens")
-    manifest = materialize(write_token_files(df, path, id_col=id_col, text_col=text_col, tokenizer=tokenizer), "manifest")
+    manifest = materialize(write_token_files(df, path, id_col=id_col, text_col=text_col, tokenizer=tokenizer, id_bytes=id_bytes), "manifest")
     if manifest.isEmpty():
         return manifest.select("doc_id", "file", "ordinal", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
-    found = scan_token_files(spark, path, block_ids=block_ids).drop("closed")
+    found = scan_token_files(spark, path, block_ids=block_ids, id_bytes=id_bytes).drop("closed")
     return manifest.join(found, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
