@@ -27,7 +27,7 @@ from ._base import broadcast_value, bucket, filter_rows, map_batches, materializ
 #: Bounds of what is learned: labelled rows, terms, and the examples in an index block.
 EXAMPLES, TERMS, BLOCK = 8192, 2048, 64
 NEIGHBOURS, THRESHOLD, PRIOR_VOTES = 15, 0.7, 0.5
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7)
 _LETTERS = bytes(b if b >= 128 or chr(b) in string.ascii_letters else 32 for b in range(256))
 #: Words whose terms a worker remembers.
 REMEMBERED = 200_000
