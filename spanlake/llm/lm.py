@@ -2,8 +2,9 @@
 
 A window network predicts every word from two words on either side; a document's score is the
 sum of the conditional log-probabilities of all its words. Words are the corpus's commonest
-(counted over all documents) and hash classes for the rest. The output is factored: classes of
-64, then the word in its class. Training is data-parallel numpy: every task runs Adam over the
+(counted over all documents) and hash classes for the rest; a rare word's score has the factor
+P(word | hash class) by the counts of all documents, which stay a distributed table. The network's
+output is factored: classes of 64, then the word in its class. Training is data-parallel numpy: every task runs Adam over the
 positions of all its documents that fall on the stride, and the tasks' weights are averaged by
 the number of positions, block by block on the executors, for each round. What is gathered
 (counts and weights of every task) grows with the corpus.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow_schema, broadcast_value, map_batches, materialize, pieces, read
+from ._base import arrow_schema, broadcast_value, materialize, pieces, read
 
 WIDTH, COMMON, RARE = 64, 3840, 256
 TOKENS, EDGE = COMMON + RARE, COMMON + RARE
@@ -31,8 +32,8 @@ EMBED, HIDDEN, SIDE = 16, 32, 2
 STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 2, 4096, 0.01, 5
 #: Weights in a row of the averaging.
 CHUNK = 4096
-#: Words a task counts before it passes the counts on.
-COUNTED = 150_000
+#: Words a task counts before it passes the counts on, and rare words of a chunk of documents; its tokens.
+COUNTED, CHUNK_TOKENS = 150_000, 2_000_000
 _KEEP = bytes(b | 32 if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
@@ -47,8 +48,8 @@ class Words(dict):
         return COMMON + zlib.crc32(word) % RARE
 
 
-def vocabulary(df: DataFrame, *, text_col: str = "text") -> dict[bytes, int]:
-    """The commonest words of all texts, by falling count; COMMON at most reach the driver."""
+def word_totals(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """word and n, its count over all texts."""
     struct, out = arrow_schema("word binary, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,26 +69,73 @@ def vocabulary(df: DataFrame, *, text_col: str = "text") -> dict[bytes, int]:
                     yield passed()
         yield passed()
 
-    counts = df.select(F.col(text_col).cast("string")).mapInArrow(count, struct).groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    return df.select(F.col(text_col).cast("string")).mapInArrow(count, struct).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def commonest(totals: DataFrame) -> dict[bytes, int]:
+    """The words of largest count, by falling count; COMMON at most reach the driver."""
+    top = totals.orderBy(F.desc("n"), "word").limit(COMMON).collect()
     return {bytes(r["word"]): i for i, r in enumerate(top)}
 
 
+def vocabulary(df: DataFrame, *, text_col: str = "text") -> dict[bytes, int]:
+    return commonest(word_totals(df, text_col=text_col))
+
+
+def class_totals(totals: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
+    """Count of the rare words of each hash class."""
+    shared = spark_words(totals.sparkSession, vocab)
+    rare = totals.join(F.broadcast(shared), "word", "left_anti")
+    out = np.zeros(RARE, np.int64)
+    for r in rare.groupBy((F.crc32("word") % RARE).cast("int").alias("klass")).agg(F.sum("n").alias("n")).collect():
+        out[r["klass"]] = r["n"]
+    return out
+
+
+def spark_words(spark: SparkSession, vocab: dict[bytes, int]) -> DataFrame:
+    return spark.createDataFrame([(bytearray(w),) for w in vocab], "word binary")
+
+
 def tokens(df: DataFrame, vocab: dict[bytes, int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids, little-endian 16-bit."""
+    """Documents in chunks: doc_id, ids (little-endian 16-bit) and rare, the places of their rare words among the
+    chunk's (little-endian 32-bit). Each chunk also has one row with those words and null ids."""
+    from pyspark import TaskContext
+
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = broadcast_value(df.sparkSession, vocab)
+    struct, out = arrow_schema(f"chunk long, doc_id {kind}, ids binary, rare binary, words array<binary>")
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Words(shared.value).__getitem__
+        chunk, held, local = TaskContext.get().partitionId() << 32, 0, {}
 
-        def work(cols):
-            return {"doc_id": cols["doc_id"], "ids": [np.fromiter(map(of, ws), "<u2", len(ws)).tobytes() for ws in map(words, cols["text"])]}
+        def made(n, *columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([chunk] * n, *columns), out, strict=True)], schema=out)
 
-        return work
+        def ended() -> pa.RecordBatch:
+            nonlocal chunk, held
+            row = made(1, [None], [None], [None], [list(local)])
+            chunk, held = chunk + 1, 0
+            local.clear()
+            return row
 
-    return map_batches(docs, make, f"doc_id {kind}, ids binary", "text")
+        for batch in batches:
+            for part in pieces(batch, 1):
+                ids, rare = [], []
+                for ws in map(words, part.column(1).to_pylist()):
+                    x = np.fromiter(map(of, ws), "<u2", len(ws))
+                    ids.append(x.tobytes())
+                    rare.append(np.array([local.setdefault(ws[i], len(local)) for i in np.flatnonzero(x >= COMMON).tolist()], "<u4").tobytes())
+                    held += len(ws)
+                n = part.num_rows
+                yield made(n, part.column(0), ids, rare, [None] * n)
+                if len(local) > COUNTED or held > CHUNK_TOKENS:
+                    yield ended()
+        if held or local:
+            yield ended()
+
+    return docs.mapInArrow(run, struct)
 
 
 def shapes() -> dict[str, tuple]:
@@ -225,18 +273,22 @@ def train_round(spark: SparkSession, table: DataFrame, weights: np.ndarray, *, s
     return np.concatenate([np.array(r["weights"], np.float32) for r in sorted(got, key=lambda r: r["chunk"])])
 
 
-def score_tokens(table: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood."""
-    shared = broadcast_value(table.sparkSession, weights)
+def score_tokens(table: DataFrame, weights: np.ndarray, totals: DataFrame, classes: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood; a chunk's documents meet the counts of its rare words in one task."""
+    shared = broadcast_value(table.sparkSession, (weights, classes))
     kind = table.schema["doc_id"].dataType.simpleString()
+    struct, out = arrow_schema(f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
-    def make():
-        p = views(shared.value)
+    def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        weights, classes = shared.value
+        p = views(weights)
         # what each word adds to the hidden layer in each place of the window
         adds = [np.ascontiguousarray(p["embed"] @ p["hide"][k * EMBED : (k + 1) * EMBED]) for k in range(2 * SIDE)]
-
-        def work(cols):
-            context, target, lengths = windows([x or b"" for x in cols["ids"]])
+        known = np.zeros(counts.num_rows, np.int64)
+        known[counts["place"].to_numpy()] = counts["n"].to_numpy()
+        rows = []
+        for part in (p for batch in docs.to_batches() for p in pieces(batch)):
+            context, target, lengths = windows([x or b"" for x in part.column("ids").to_pylist()])
             logs = np.zeros(len(target), np.float64)
             for a in range(0, len(target), 32_768):
                 some = slice(a, a + 32_768)
@@ -244,24 +296,32 @@ def score_tokens(table: DataFrame, weights: np.ndarray) -> DataFrame:
                 for k in range(1, 2 * SIDE):
                     h += adds[k][context[some, k]]
                 logs[some] = log_probabilities(p, np.tanh(h, out=h), target[some])
+            at = np.flatnonzero(target >= COMMON)
+            places = np.frombuffer(b"".join(part.column("rare").to_pylist()), "<u4")
+            logs[at] += np.log(known[places]) - np.log(classes[target[at] - COMMON])
             ends = np.cumsum(lengths)
             total = np.concatenate([[0.0], np.cumsum(logs)])
             sums = total[ends] - total[ends - lengths]
-            return {"doc_id": cols["doc_id"], "n_tokens": lengths.tolist(), "log_likelihood": [float(s) if n else 0.0 for s, n in zip(sums, lengths, strict=True)], "mean_log_likelihood": [float(s / n) if n else None for s, n in zip(sums, lengths, strict=True)]}
-
-        return work
+            rows.append(pa.Table.from_arrays([part.column("doc_id"), pa.array(lengths), pa.array([float(s) if n else 0.0 for s, n in zip(sums, lengths, strict=True)], pa.float64()), pa.array([float(s / n) if n else None for s, n in zip(sums, lengths, strict=True)], pa.float64())], schema=out))
+        return pa.concat_tables(rows) if rows else out.empty_table()
 
-    return map_batches(table, make, f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    docs = table.filter("ids is not null").select("chunk", "doc_id", "ids", "rare")
+    # a word is once in a chunk, so no word has many rows
+    lexicon = table.filter("ids is null").select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word"))
+    counts = lexicon.join(totals, "word").select("of", "place", "n")
+    return docs.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(score, struct)
 
 
 def score_corpus(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> DataFrame:
     """Learn from all documents, then score all of them."""
     spark = df.sparkSession
-    table = materialize(tokens(df, vocabulary(df, text_col=text_col), id_col=id_col, text_col=text_col), "words")
+    totals = materialize(word_totals(df, text_col=text_col), "totals")
+    vocab = commonest(totals)
+    table = materialize(tokens(df, vocab, id_col=id_col, text_col=text_col), "words")
     weights = initial()
     for k in range(rounds):
-        weights = train_round(spark, table, weights, stride=stride, seed=SEED + 1000 * k)
-    return score_tokens(table, weights)
+        weights = train_round(spark, table.filter("ids is not null"), weights, stride=stride, seed=SEED + 1000 * k)
+    return score_tokens(table, weights, totals, class_totals(totals, vocab))
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,6 +389,21 @@ def test_language_model(spark, docs, rows, none):
     assert lm.score_corpus(none).count() == 0
 
 
+def test_language_model_tells_rare_words_apart(spark):
+    common = " ".join(f"w{i}" for i in range(lm.COMMON))
+    first = "rare0"
+    klass = zlib.crc32(first.encode()) % lm.RARE
+    second = next(f"rare{i}" for i in range(1, 100_000) if zlib.crc32(f"rare{i}".encode()) % lm.RARE == klass)
+    texts = [common] * 12 + [f"w1 {first} w2"] * 9 + [f"w1 {second} w2"] * 3 + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score_corpus(df, rounds=1).collect()}
+    assert len(got) == len(texts)
+    # same window and hash class: the scores differ by the words' shares of the class
+    assert math.isclose(got[12] - got[21], math.log(9 / 3), rel_tol=1e-6)
+    vocab = lm.vocabulary(df)
+    assert lm.class_totals(lm.word_totals(df), vocab)[klass] == 12
+
+
 def test_language_model_probabilities_and_gradients():
     p = {k: v.astype(np.float64) for k, v in lm.views(lm.initial()).items()}
     context, target = np.array([[1, 2, 3, 4], [lm.EDGE, lm.EDGE, 7, 100]]), np.array([5, 4000])
