@@ -5,7 +5,7 @@ sum of the conditional log-probabilities of all its words. Words are the corpus'
 (counted over all documents) and hash classes for the rest; a rare word's score has the factor
 P(word | hash class) by the counts of all documents, which stay a distributed table. The network's
 output is factored: classes of 64, then the word in its class. Training is data-parallel numpy: every task runs Adam over the
-positions of all its documents that fall on the stride, and the tasks' weights are averaged by
+positions of all its documents, every one in each round, and the tasks' weights are averaged by
 the number of positions, block by block on the executors, for each round. What is gathered
 (counts and weights of every task) grows with the corpus.
 
@@ -29,7 +29,7 @@ from ._base import arrow_schema, broadcast_value, materialize, pieces, read
 WIDTH, COMMON, RARE = 64, 3840, 256
 TOKENS, EDGE = COMMON + RARE, COMMON + RARE
 EMBED, HIDDEN, SIDE = 16, 32, 2
-STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 2, 4096, 0.01, 5
+STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 4096, 0.01, 5
 #: Weights in a row of the averaging.
 CHUNK = 4096
 #: Words a task counts before it passes the counts on, and rare words of a chunk of documents; its tokens.
@@ -177,36 +177,48 @@ def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
+def _loss_and_slopes(x: np.ndarray, at: np.ndarray) -> float:
+    """Turns logits into the mean loss's gradients by them, in place; returns the summed loss."""
+    some = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    loss = -float(x[some, at].sum(dtype=np.float64))
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    loss += float(np.log(total).sum(dtype=np.float64))
+    x /= total
+    x[some, at] -= 1
+    x /= len(x)
+    return loss
+
+
 def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray) -> float:
     """Adds the mean loss's gradients to ``g``; returns the loss."""
     n = len(target)
+    order = np.argsort(target // WIDTH, kind="stable")
+    context, target = context[order], target[order]
     klass, inner = target // WIDTH, target % WIDTH
     flat = p["embed"][context].reshape(n, -1)
     h = np.tanh(flat @ p["hide"] + p["hide_b"])
-    log_k = _log_softmax(h @ p["klass"] + p["klass_b"])
-    loss = -float(log_k[np.arange(n), klass].sum())
-    d = np.exp(log_k)
-    d[np.arange(n), klass] -= 1
-    d /= n
+    d = h @ p["klass"] + p["klass_b"]
+    loss = _loss_and_slopes(d, klass)
     g["klass"] += h.T @ d
     g["klass_b"] += d.sum(axis=0)
     dh = d @ p["klass"].T
-    order = np.argsort(klass, kind="stable")
-    present, at = np.unique(klass[order], return_index=True)
-    for c, rows in zip(present.tolist(), np.split(order, at[1:]), strict=True):
-        some = np.arange(len(rows))
-        log_w = _log_softmax(h[rows] @ p["word"][c] + p["word_b"][c])
-        loss -= float(log_w[some, inner[rows]].sum())
-        d = np.exp(log_w)
-        d[some, inner[rows]] -= 1
-        d /= n
-        g["word"][c] += h[rows].T @ d
-        g["word_b"][c] += d.sum(axis=0)
-        dh[rows] += d @ p["word"][c].T
+    present, starts = np.unique(klass, return_index=True)
+    spans = list(zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
+    for c, a, b in spans:
+        d[a:b] = h[a:b] @ p["word"][c] + p["word_b"][c]
+    loss += _loss_and_slopes(d, inner)
+    for c, a, b in spans:
+        g["word"][c] += h[a:b].T @ d[a:b]
+        g["word_b"][c] += d[a:b].sum(axis=0)
+        dh[a:b] += d[a:b] @ p["word"][c].T
     dh *= 1 - h * h
     g["hide"] += flat.T @ dh
     g["hide_b"] += dh.sum(axis=0)
-    np.add.at(g["embed"], context.ravel(), (dh @ p["hide"].T).reshape(-1, EMBED))
+    slopes, at = (dh @ p["hide"].T).reshape(-1, EMBED), context.ravel()
+    for j in range(EMBED):
+        g["embed"][:, j] += np.bincount(at, slopes[:, j], TOKENS + 1)
     return loss / n
 
 

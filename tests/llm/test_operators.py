@@ -404,6 +404,13 @@ def test_language_model_tells_rare_words_apart(spark):
     assert lm.class_totals(lm.word_totals(df), vocab)[klass] == 12
 
 
+def test_language_model_trains_on_every_position(spark, docs):
+    table = lm.tokens(docs, lm.vocabulary(docs)).filter("ids is not null").coalesce(1).cache()
+    start = lm.initial()
+    assert np.allclose(lm.train_round(spark, table, start), lm.train_round(spark, table, start, stride=1), atol=1e-4)
+    assert not np.allclose(lm.train_round(spark, table, start, stride=16), lm.train_round(spark, table, start), atol=1e-4)
+
+
 def test_language_model_probabilities_and_gradients():
     p = {k: v.astype(np.float64) for k, v in lm.views(lm.initial()).items()}
     context, target = np.array([[1, 2, 3, 4], [lm.EDGE, lm.EDGE, 7, 100]]), np.array([5, 4000])
