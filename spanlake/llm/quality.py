@@ -2,8 +2,9 @@
 
 Every document gets counts over its words; transformed, they form a statistic vector. For each
 language and source the minimum-covariance-determinant estimate is found by concentration
-steps over all of the group's documents: from robust coordinate-wise starts, the half with the
-least Mahalanobis distances gives the next mean and covariance. Documents whose distance from
+steps over all of the group's documents: from each of four deterministic starts, the half with the
+least Mahalanobis distances gives the next mean and covariance. The start that reaches the least
+determinant goes on until the determinant falls no more. Documents whose distance from
 the final (reweighted) estimate is beyond a chi-square quantile are rejected.
 
 Statistics are whole multiples of 1e-4, and their sums exact, so the estimates do not depend on
@@ -27,7 +28,10 @@ from ._base import map_batches, materialize, read
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
-STEPS, HALF, MIN_GROUP = 3, 0.75, 30
+#: Steps from every start, and at most so many more from the best one.
+STEPS, FURTHER, HALF, MIN_GROUP = 3, 10, 0.5, 30
+#: A fall of the determinant's logarithm that counts.
+FALL = 0.01
 #: chi-square quantile (5 degrees of freedom, p = 1 - 1e-6) beyond which a document is an outlier.
 CUT = 35.89
 #: Documents' statistics are pulled toward a typical text by so many words, so that short texts do not look extreme.
@@ -123,8 +127,21 @@ def moments(xs: list[str]) -> list:
     return [F.count("*").alias("n"), *[F.sum(whole(F.col(x))).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(whole(F.col(xs[i]) * F.col(xs[j]))).alias(f"q{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]]
 
 
-def estimate(row, p: int, grow: float = 1.0) -> tuple[list[float], list[float]]:
-    """Mean and inverse covariance (flat) from a row of moments, with floored variances."""
+def consistency(half: float) -> float:
+    """By what the covariance of a normal's central share is too small, in five dimensions."""
+    if half >= 1:
+        return 1.0
+    tail = lambda x: math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    below5 = lambda x: math.erf(math.sqrt(x / 2)) - tail(x) * (1 + x / 3)
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        at = (low + high) / 2
+        low, high = (at, high) if below5(at) < half else (low, at)
+    return half / (below5(low) - tail(low) * low**2 / 15)
+
+
+def estimate(row, p: int, grow: float = 1.0) -> tuple[list[float], list[float], float]:
+    """Mean, inverse covariance (flat) and the covariance's log determinant from a row of moments, with floored variances."""
     from fractions import Fraction
 
     n = int(row["n"])
@@ -134,7 +151,7 @@ def estimate(row, p: int, grow: float = 1.0) -> tuple[list[float], list[float]]:
         for j in range(i, p):
             cov[i, j] = cov[j, i] = float(Fraction(int(row[f"q{i}_{j}"]), n) - mean[i] * mean[j]) * grow
     cov += np.diag([(f * UNIT) ** 2 for f in FLOOR[:p]])
-    return [float(m) for m in mean], np.linalg.inv(cov).flatten().tolist()
+    return [float(m) for m in mean], np.linalg.inv(cov).flatten().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
 def robust_estimates(stats: DataFrame, group: list[str], xs: list[str], *, steps: int = STEPS, half: float = HALF, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
@@ -146,35 +163,65 @@ def robust_estimates(stats: DataFrame, group: list[str], xs: list[str], *, steps
     spark, p = stats.sparkSession, len(xs)
     key = F.to_json(F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("all")
     rows = stats.withColumn("key", key).select("key", *xs)
-    schema = "key string, mean array<double>, inverse array<double>"
+    schema = "key string, start int, mean array<double>, inverse array<double>"
+
+    def table(found: dict) -> DataFrame:
+        return spark.createDataFrame([(*k, *v[:2]) for k, v in found.items()], schema)
+
+    def estimates(kept: DataFrame, grow: float) -> dict:
+        return {(r["key"], r["start"]): estimate(r, p, grow) for r in kept.groupBy("key", "start").agg(*moments(xs)).collect()}
 
-    def table(found: list) -> DataFrame:
-        return spark.createDataFrame(found, schema)
+    def concentrated(found: dict) -> dict:
+        """One concentration step of every start."""
+        near = rows.join(few(table(found)), "key").withColumn("d2", distance(xs))
+        near = near.withColumn("klass", F.floor(F.log(F.col("d2") + 1e-3) * CLASSES).cast("int"))
+        counted = near.groupBy("key", "start", "klass").agg(F.count("*").alias("n"))
+        by = Window.partitionBy("key", "start")
+        upto = counted.withColumns({"upto": F.sum("n").over(by.orderBy("klass")), "total": F.sum("n").over(by)})
+        bound = upto.filter(F.col("upto") >= half * F.col("total")).groupBy("key", "start").agg(F.min("klass").alias("most"))
+        # consistency: the central share of a normal has a smaller covariance
+        return estimates(near.join(few(bound), ["key", "start"]).filter("klass <= most"), consistency(half))
 
-    # Start: medians and median absolute deviations, by counts of narrow classes of each coordinate.
+    # Starts: medians and median absolute deviations, by counts of narrow classes of each coordinate.
     middle = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)]).filter(F.col("n") >= min_group)
     middle = materialize(middle, "medians")
     few = F.broadcast if middle.count() <= BROADCAST_GROUPS else lambda df: df
     spread = rows.join(few(middle), "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)])
-    found = []
-    for r in middle.join(spread, "key").collect():
-        scale = [(1.4826 * r[f"d{i}"]) ** 2 + (FLOOR[i] * UNIT) ** 2 for i in range(p)]
-        found.append((r["key"], [float(r[f"m{i}"]) for i in range(p)], np.diag(1 / np.array(scale)).flatten().tolist()))
-    for step in range(steps + 1):
-        near = rows.join(few(table(found)), "key").withColumn("d2", distance(xs))
-        if step < steps:
-            klass = F.floor(F.log(F.col("d2") + 1e-3) * CLASSES).cast("int")
-            counted = near.groupBy("key", klass.alias("klass")).agg(F.count("*").alias("n"))
-            by = Window.partitionBy("key")
-            upto = counted.withColumns({"upto": F.sum("n").over(by.orderBy("klass")), "total": F.sum("n").over(by)})
-            bound = upto.filter(F.col("upto") >= half * F.col("total")).groupBy("key").agg(F.min("klass").alias("most"))
-            kept = near.withColumn("klass", klass).join(few(bound), "key").filter("klass <= most")
-        else:
-            kept = near.filter(F.col("d2") <= cut)
-        # consistency: the central share of a normal has a smaller covariance
-        grow = 1.35 if step < steps else 1.05
-        found = [(r["key"], *estimate(r, p, grow)) for r in kept.groupBy("key").agg(*moments(xs)).collect()]
-    return table(found)
+    scales = {r["key"]: ([float(r[f"m{i}"]) for i in range(p)], [math.sqrt((1.4826 * r[f"d{i}"]) ** 2 + (FLOOR[i] * UNIT) ** 2) for i in range(p)]) for r in middle.join(spread, "key").collect()}
+    if not scales:
+        return spark.createDataFrame([], "key string, mean array<double>, inverse array<double>")
+    found = {(k, 0): (m, np.diag(1 / np.square(sd)).flatten().tolist()) for k, (m, sd) in scales.items()}
+    # … the covariance of all rows, of their hyperbolic tangents and of their spatial signs; the last two about the medians.
+    found |= {(k, 1): v for (k, _), v in estimates(rows.join(few(middle.select("key")), "key").withColumn("start", F.lit(1)), 1.0).items()}
+    scaled = spark.createDataFrame([(k, m, sd) for k, (m, sd) in scales.items()], "key string, m array<double>, sd array<double>")
+    z = [(F.col(x) - F.col("m")[i]) / F.col("sd")[i] for i, x in enumerate(xs)]
+    norm = F.sqrt(sum(v * v for v in z) + 1e-12)
+    for start, bent in ((2, [F.tanh(v) for v in z]), (3, [v / norm for v in z])):
+        # whole multiples of 1 / UNIT, so that sums are exact
+        whole = rows.join(few(scaled), "key").select("key", F.lit(start).alias("start"), *[F.round(v * UNIT).cast("long").alias(x) for v, x in zip(bent, xs, strict=True)])
+        for r in whole.groupBy("key", "start").agg(*moments(xs)).collect():
+            m, sd = scales[r["key"]]
+            shape = np.zeros((p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    shape[i, j] = shape[j, i] = float(r[f"q{i}_{j}"]) / int(r["n"]) / UNIT**2 * sd[i] * sd[j]
+            shape += np.diag([(f * UNIT) ** 2 for f in FLOOR[:p]])
+            found[r["key"], start] = (m, np.linalg.inv(shape).flatten().tolist())
+    for _ in range(max(1, steps)):  # the determinant is known after a step
+        found = concentrated(found)
+    best: dict = {}
+    for (key, start), v in sorted(found.items()):
+        if key not in best or v[2] < best[key][1][2]:
+            best[key] = (start, v)
+    found = {(key, start): v for key, (start, v) in best.items()}
+    for _ in range(FURTHER):
+        after = concentrated(found)
+        falls = [k for k, v in found.items() if after[k][2] < v[2] - FALL]
+        found |= {k: after[k] for k in falls}
+        if not falls:
+            break
+    final = rows.join(few(table(found)), "key").withColumn("d2", distance(xs)).filter(F.col("d2") <= cut)
+    return table(estimates(final, 1.05)).drop("start")
 
 
 def verdicts(stats: DataFrame, *, cut: float = CUT, min_group: int = MIN_GROUP, steps: int = STEPS, half: float = HALF) -> DataFrame:

@@ -297,6 +297,27 @@ def test_robust_estimate_is_not_moved_by_outliers(spark):
     assert abs(row["mean"][0] - 50_000) < 500 and abs(row["mean"][1]) < 200
 
 
+def test_robust_estimate_withstands_large_groups_of_copies(spark):
+    assert math.isclose(quality.consistency(0.5), 1.913, abs_tol=2e-3)
+    rng = np.random.default_rng(4)
+    made, clean = [], {}
+    for share in (0.28, 0.33, 0.4):
+        good = rng.multivariate_normal([50_000, 0, 0, 0, 0], np.diag([4e6, 4e4, 1e5, 1e5, 1e6]), 1200)
+        bad = rng.multivariate_normal([90_000, 9_000, 3_000, 0, 0], np.diag([1e4] * 5), round(1200 * share / (1 - share)))
+        clean[str(share)] = good
+        made += [(str(share), *map(int, r)) for r in np.concatenate([good, bad])]
+    df = spark.createDataFrame(made, "lang string, x0 long, x1 long, x2 long, x3 long, x4 long")
+    got = quality.robust_estimates(df, ["lang"], [f"x{i}" for i in range(5)]).collect()
+    assert len(got) == 3
+    for r in got:
+        mean, inverse = np.array(r["mean"]), np.array(r["inverse"]).reshape(5, 5)
+        far = np.array([90_000, 9_000, 3_000, 0, 0]) - mean
+        assert far @ inverse @ far > quality.CUT
+        (good,) = [g for s, g in clean.items() if s in r["key"]]
+        d = good - mean
+        assert ((d @ inverse * d).sum(axis=1) <= quality.CUT).mean() > 0.995
+
+
 def test_gradients_of_the_recurrent_network():
     net = langid.Network(["a", "b", "c"], embed=3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
