@@ -1,7 +1,8 @@
 """Plumbing shared by the operators of this subpackage.
 
 Work that must outlive an executor goes to the folder named by
-``spark.checkpoint.dir``; only where that is unset is a folder of our own set.
+``spark.checkpoint.dir``. Only a local session, as in tests, may leave that unset; it gets a
+temporary folder. On a cluster such a folder would be lost with its machine, so that is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spanlake-"))
     return sc.getCheckpointDir().rstrip("/")
 

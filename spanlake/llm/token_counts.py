@@ -8,9 +8,11 @@ documents that cross block boundaries.
 
 Defined results: a null or empty text is a document of zero tokens; equal rows are separate
 documents; an empty table gives no files and no rows; bytes after the last separator of a
-file form one open document (``closed`` false) unless there are none. An id equal to the
-separator inside a document would split it, so writing such a document fails, as does an id too
-large for the width.
+file form one open document (``closed`` false) unless there are none. The separator is the
+largest id of the files' width, which no vocabulary that fits the width reaches, so a text
+may hold anything, the vocabulary's own end-of-text mark included. A caller's own separator may
+be an id that texts hold; it would split them, so writing such a document fails, as does an id
+too large for the width.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 from ._base import arrow_schema, materialize, new_path, pieces, read
 from .bpe import Encoder, default_tokenizer
 
-#: End-of-document id: one past the vocabulary's ordinary tokens.
-EOD = 50256
 #: Bytes of an id in the files that ``count_tokens`` writes: vocabularies under 65,536 fit two.
 ID_BYTES = 2
 #: Ids in a block: 2 or 4 MB of file.
@@ -34,12 +34,18 @@ BLOCK_IDS = 1 << 20
 MANIFEST = "doc_id long, file string, ordinal long"
 
 
-def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, eod: int = EOD, id_bytes: int = 4) -> DataFrame:
+def separator(id_bytes: int) -> int:
+    """The end-of-document id of files of this width: all bits set."""
+    return (1 << 8 * id_bytes) - 1
+
+
+def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, eod: int | None = None, id_bytes: int = 4) -> DataFrame:
     """Write one flat file per task under ``path``; return which document stands where (file, ordinal).
 
     A task that is run again writes another file; the manifest names those that count.
     """
     vocabulary = tokenizer or default_tokenizer()
+    eod = separator(id_bytes) if eod is None else eod
     struct, out = arrow_schema(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +65,10 @@ def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_
                         sink = store.open_output_stream(f"{folder}/{name}")
                     ids = [np.frombuffer(x, "<u4") for x in encode([t or "" for t in part.column(1).to_pylist()])]
                     every = np.concatenate(ids)
-                    if (every == eod).any():
-                        raise ValueError(f"a document holds the separator id {eod}")
                     if len(every) and every.max() >> (8 * id_bytes):
                         raise ValueError(f"an id does not fit {id_bytes} bytes")
+                    if (every == eod).any():
+                        raise ValueError(f"a document holds the separator id {eod}")
                     for x in ids:
                         sink.write(x.astype(kind).tobytes() + mark)
                     n = len(ids)
@@ -75,15 +81,16 @@ def write_token_files(df: DataFrame, path: str, *, id_col: str = "doc_id", text_
     return df.select(id_col, text_col).mapInArrow(run, struct)
 
 
-def scan_token_files(spark: SparkSession, path: str, *, eod: int = EOD, block_ids: int = BLOCK_IDS, id_bytes: int = 4) -> DataFrame:
+def scan_token_files(spark: SparkSession, path: str, *, eod: int | None = None, block_ids: int = BLOCK_IDS, id_bytes: int = 4) -> DataFrame:
     """One row per document found: file, ordinal, start (ids before it), n_tokens, closed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
     return scan_blocks(files, eod=eod, block_ids=block_ids, id_bytes=id_bytes)
 
 
-def scan_blocks(files: DataFrame, *, eod: int = EOD, block_ids: int = BLOCK_IDS, id_bytes: int = 4) -> DataFrame:
+def scan_blocks(files: DataFrame, *, eod: int | None = None, block_ids: int = BLOCK_IDS, id_bytes: int = 4) -> DataFrame:
     """As ``scan_token_files`` for a table of (path, length in bytes)."""
     size = id_bytes * block_ids
+    eod = separator(id_bytes) if eod is None else eod
     blocks = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block"))
     struct, out = arrow_schema("file string, block long, size long, ends array<int>")
 
