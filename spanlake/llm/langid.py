@@ -1,20 +1,21 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads units (runs of letters in lower case, at most UNIT bytes) in both directions
-and labels every byte position with a distribution over languages; a document's probabilities
-are the mean over all its positions. Training is plain numpy: backpropagation through time with
-Adam on units of a bounded, hash-chosen sample of documents (DOCUMENTS, WORDS of each, spread
-over its whole text). A unit's labels do not depend on its neighbours, so a worker remembers
-the units it has seen.
-
-Defined results: a null text or one without a letter is ``und`` with score 0; with nothing to
-learn from every document is ``und``; equal probabilities go to the language of lower name;
-rows with a null language are not learned from; texts are read whole.
+The network reads a text's bytes (lower case; what is no letter is a space, runs of spaces are
+one) in both directions and labels every position with a distribution over languages; a
+document's probabilities are the mean over all its positions. Texts of any length are read in
+windows of WINDOW bytes that overlap by twice CONTEXT, so that every position is labelled with
+at least CONTEXT bytes of its text on either side. Training is plain numpy: backpropagation
+through time with Adam over all windows of the whole texts of a bounded sample (DOCUMENTS rows,
+chosen by hash, spread over the languages).
+
+Defined results: a null text or one without a letter (str.isalpha) is ``und`` with score 0; with
+nothing to learn from every document is ``und``; equal probabilities go to the language of
+lower name; rows with a null text or language are not learned from; equal texts get equal
+results; texts are read whole.
 """
 
 from __future__ import annotations
 
-import re
 import string
 
 import numpy as np
@@ -23,27 +24,45 @@ from pyspark.sql import functions as F
 
 from ._base import broadcast_value, bucket, filter_rows, map_batches, read
 
-#: Bounds of the training sample and its use.
-DOCUMENTS, WORDS, EPOCHS, BATCH = 2048, 48, 4, 512
-EMBED, HIDDEN, UNIT, SEED = 12, 20, 24, 11
+#: Rows learned from, passes over them, windows in a step of training.
+DOCUMENTS, EPOCHS, BATCH = 1024, 2, 64
+EMBED, HIDDEN, SEED, RATE = 12, 16, 11, 0.01
+#: Bytes of a window, and how many of them on either side are only read.
+WINDOW, CONTEXT = 256, 16
+#: Windows that are labelled at once.
+AT_ONCE = 512
 UNKNOWN, LEAST_SCORE = "und", 0.35
-#: Units a worker remembers.
-REMEMBERED = 150_000
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if b >= 128 or chr(b) in string.ascii_lowercase else 32 for b in range(256))
 
 
-def units(text: str) -> list[bytes]:
-    """Runs of letters in lower case."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
+def spelled(text: str | None) -> bytes:
+    """The bytes that the network reads; none where there is no letter."""
+    if not text or not any(map(str.isalpha, text)):
+        return b""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split())
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def windows(texts: list[bytes], window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the texts (byte, window), which of their positions are labelled, and the text of each window."""
+    step = window - 2 * context
+    counts = np.array([-(-len(t) // step) for t in texts], np.int64)
+    padded = b"".join(b" " * context + t.ljust(int(n) * step) + b" " * context for t, n in zip(texts, counts, strict=True) if n)
+    of = np.repeat(np.arange(len(texts)), counts)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.arange(len(of)) * step + of_rank(of) * 2 * context
+    place = np.arange(window)[:, None]
+    data = np.frombuffer(padded, np.uint8)[starts + place] if len(of) else np.zeros((window, 0), np.uint8)
+    left = np.array([len(t) for t in texts], np.int64)[of] - k * step + context
+    return data, (place >= context) & (place < window - context) & (place < left), of
+
+
+def of_rank(of: np.ndarray) -> np.ndarray:
+    """The number of different values before each one of a sorted array."""
+    return np.cumsum(np.diff(of, prepend=of[:1]) > 0)
 
 
 class Network:
-    """Parameters and passes; all units of a batch have one length."""
+    """Parameters and passes; bytes are (time, batch)."""
 
     def __init__(self, languages: list[str], embed: int = EMBED, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -53,174 +72,158 @@ class Network:
         for d in ("f", "b"):
             self.p |= {f"in_{d}": make(embed, 3 * hidden), f"rec_{d}": make(hidden, 3 * hidden), f"bias_{d}": np.zeros(3 * hidden, np.float32)}
 
-    def _direction(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (time, batch, hidden) of the bytes x (batch, time), in order of place."""
-        h_n, (n, steps) = self.hidden, x.shape
-        table = self.p["embed"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]
-        rec, h = self.p[f"rec_{d}"], np.zeros((n, self.hidden), np.float32)
-        out = np.empty((steps, n, h_n), np.float32)
+    def _states(self, x: np.ndarray, d: str, keep: dict | None = None) -> np.ndarray:
+        """Hidden states (time, batch, hidden) of one direction, in order of place."""
+        h_n, (steps, n) = self.hidden, x.shape
+        # a gate is (1 + tanh(a / 2)) / 2, so the halves go into the tables
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h_n)
+        table = (self.p["embed"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]) * half
+        rec = self.p[f"rec_{d}"] * half
+        h, out = np.zeros((n, h_n), table.dtype), np.empty((steps, n, h_n), table.dtype)
+        if keep is not None:
+            keep |= {k: np.empty((steps, n, w), table.dtype) for k, w in (("gates", 2 * h_n), ("new", h_n), ("u", h_n), ("before", h_n))}
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            a, u = table[x[:, t]], h @ rec
-            gates = _sigmoid(a[:, : 2 * h_n] + u[:, : 2 * h_n])
-            r, z = gates[:, :h_n], gates[:, h_n:]
-            new = np.tanh(a[:, 2 * h_n :] + r * u[:, 2 * h_n :])
+            a, u = table[x[t]], h @ rec
+            gates, new, back = a[:, : 2 * h_n], a[:, 2 * h_n :], u[:, 2 * h_n :]
+            gates += u[:, : 2 * h_n]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
             if keep is not None:
-                keep.append((t, h, r, z, new, u[:, 2 * h_n :]))
-            h = z * h + (1 - z) * new
-            out[t] = h
+                keep["u"][t], keep["before"][t], keep["gates"][t] = back, h, gates
+            back *= gates[:, :h_n]
+            new += back
+            np.tanh(new, out=new)
+            if keep is not None:
+                keep["new"][t] = new
+            h = np.subtract(h, new, out=out[t])
+            h *= gates[:, h_n:]
+            h += new
         return out
 
     def label(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (time, batch, language) of every byte position."""
-        both = np.concatenate([self._direction(x, "f"), self._direction(x, "b")], axis=2)
-        logits = both @ self.p["out"] + self.p["out_b"]
+        out, h_n = self.p["out"], self.hidden
+        logits = self._states(x, "f") @ out[:h_n] + self._states(x, "b") @ out[h_n:] + self.p["out_b"]
         logits -= logits.max(axis=2, keepdims=True)
         np.exp(logits, out=logits)
-        return logits / logits.sum(axis=2, keepdims=True)
+        logits /= logits.sum(axis=2, keepdims=True)
+        return logits
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over positions, and its gradients by backpropagation through time."""
-        n, steps = x.shape
+    def gradients(self, x: np.ndarray, labelled: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over the labelled positions, and its gradients by backpropagation through time."""
+        steps, n = x.shape
         h_n, p = self.hidden, self.p
-        kept: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._direction(x, d, kept[d]) for d in ("f", "b")], axis=2)
+        kept: dict[str, dict] = {"f": {}, "b": {}}
+        both = np.concatenate([self._states(x, d, kept[d]) for d in ("f", "b")], axis=2)
         logits = both @ p["out"] + p["out_b"]
         logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        loss = float(-np.log(np.maximum(prob[:, np.arange(n), y], 1e-12)).mean())
-        prob[:, np.arange(n), y] -= 1
-        delta = prob / (n * steps)
+        delta = np.exp(logits)
+        delta /= delta.sum(axis=2, keepdims=True)
+        total = max(1, int(labelled.sum()))
+        loss = float((-np.log(np.maximum(delta[:, np.arange(n), y], 1e-12)) * labelled).sum() / total)
+        delta[:, np.arange(n), y] -= 1
+        delta *= labelled[:, :, None] / np.array(total, delta.dtype)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["out"] = np.einsum("tnh,tnc->hc", both, delta, optimize=True)
-        g["out_b"] = delta.sum(axis=(0, 1))
+        flat = lambda v: v.reshape(steps * n, -1)
+        g["out"] = flat(both).T @ flat(delta)
+        g["out_b"] = flat(delta).sum(axis=0)
         up = delta @ p["out"].T
+        of = x.ravel()
         for k, d in enumerate(("f", "b")):
-            rec, w_in = p[f"rec_{d}"], p[f"in_{d}"]
-            back, carry = up[:, :, k * h_n : (k + 1) * h_n], np.zeros((n, h_n), np.float32)
-            for t, before, r, z, new, u_new in reversed(kept[d]):
-                dh = back[t] + carry
-                dz = dh * (before - new) * z * (1 - z)
-                dn = dh * (1 - z) * (1 - new * new)
-                dr = dn * u_new * r * (1 - r)
-                into = np.concatenate([dr, dz, dn], axis=1)
-                through = np.concatenate([dr, dz, dn * r], axis=1)
-                g[f"rec_{d}"] += before.T @ through
-                g[f"bias_{d}"] += into.sum(axis=0)
-                g[f"in_{d}"] += p["embed"][x[:, t]].T @ into
-                np.add.at(g["embed"], x[:, t], into @ w_in.T)
-                carry = dh * z + through @ rec.T
+            held, rec, w_in = kept[d], p[f"rec_{d}"].T.copy(), p[f"in_{d}"]
+            into, through = (np.empty((steps, n, 3 * h_n), up.dtype) for _ in range(2))
+            carry = np.zeros((n, h_n), up.dtype)
+            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
+                r, z, new = held["gates"][t, :, :h_n], held["gates"][t, :, h_n:], held["new"][t]
+                dh = up[t, :, k * h_n : (k + 1) * h_n] + carry
+                dn = into[t, :, 2 * h_n :]
+                np.multiply(dh * (1 - z), 1 - new * new, out=dn)
+                np.multiply(dn * held["u"][t], r * (1 - r), out=into[t, :, :h_n])
+                np.multiply(dh * (held["before"][t] - new), z * (1 - z), out=into[t, :, h_n : 2 * h_n])
+                through[t, :, : 2 * h_n] = into[t, :, : 2 * h_n]
+                np.multiply(dn, r, out=through[t, :, 2 * h_n :])
+                carry = dh * z + through[t] @ rec
+            g[f"rec_{d}"] = flat(held["before"]).T @ flat(through)
+            by_byte = np.stack([np.bincount(of, c, 256) for c in flat(into).T], axis=1).astype(up.dtype)
+            g[f"bias_{d}"] = by_byte.sum(axis=0)
+            g[f"in_{d}"] = p["embed"].T @ by_byte
+            g["embed"] += by_byte @ w_in.T
         return loss, g
 
 
-def by_length(words: list[bytes]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        out.setdefault(len(w), []).append(i)
-    return out
-
-
-def as_bytes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
-
-
-def train(samples: list[tuple[bytes, str]], *, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.01, seed: int = SEED) -> Network | None:
-    """Fit a network to (unit, language) pairs; None if there are none."""
+def train(samples: list[tuple[bytes, str]], *, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network | None:
+    """Fit a network to all windows of (spelled text, language) pairs; None if there are none."""
+    samples = [x for x in samples if x[0]]
     languages = sorted({y for _, y in samples})
     if not languages:
         return None
     net, rng = Network(languages), np.random.default_rng(seed)
-    words, at = [w for w, _ in samples], {y: i for i, y in enumerate(languages)}
-    y = np.array([at[lang] for _, lang in samples])
-    groups = {k: (as_bytes([words[i] for i in rows]), y[rows]) for k, rows in by_length(words).items()}
+    at = {y: i for i, y in enumerate(languages)}
+    data, labelled, of = windows([t for t, _ in samples])
+    y = np.array([at[lang] for _, lang in samples])[of]
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+    steps = epochs * -(-len(of) // batch)
     step = 0
-    for epoch in range(epochs):
-        batches = []
-        for k in sorted(groups):
-            order = rng.permutation(len(groups[k][1]))
-            batches += [(k, order[i : i + batch]) for i in range(0, len(order), batch)]
-        for j in rng.permutation(len(batches)):
-            k, rows = batches[j]
-            _, g = net.gradients(groups[k][0][rows], groups[k][1][rows])
+    for _ in range(epochs):
+        order = rng.permutation(len(of))
+        for a in range(0, len(order), batch):
+            rows = order[a : a + batch]
+            _, g = net.gradients(data[:, rows], labelled[:, rows], y[rows])
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            lr = rate * (1 - 0.9 * step / steps)
             step += 1
-            lr = rate * 0.5**epoch * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            lr *= np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for name, v in g.items():
+                v = v / max(1.0, norm)
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.999 * second[name] + 0.001 * v * v
                 net.p[name] -= (lr * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
     return net
 
 
-class Labeller:
-    """Pooled probabilities of documents, with a memory of units."""
-
-    def __init__(self, net: Network):
-        self.net, self.row, self.sums = net, {}, np.zeros((0, len(net.languages) + 1), np.float32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Sums over positions of the units' probabilities, and their numbers of positions."""
-        parts = [(i, w[a : a + UNIT]) for i, w in enumerate(new) if w.isascii() or _LETTER.search(w.decode("utf-8", "ignore")) for a in range(0, len(w), UNIT)]
-        sums = np.zeros((len(new), self.sums.shape[1]), np.float32)
-        for k, rows in by_length([w for _, w in parts]).items():
-            for a in range(0, len(rows), 4096):
-                some = rows[a : a + 4096]
-                prob = self.net.label(as_bytes([parts[i][1] for i in some])).sum(axis=0)
-                np.add.at(sums, [parts[i][0] for i in some], np.concatenate([prob, np.full((len(some), 1), k, np.float32)], axis=1))
-        at = len(self.sums)
-        self.sums = np.concatenate([self.sums, sums])
-        self.row.update((w, at + i) for i, w in enumerate(new))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.row) > REMEMBERED:
-            self.row, self.sums = {}, self.sums[:0]
-        found = [units(t) if t and _LETTER.search(t) else [] for t in texts]
-        new = list({w for ws in found for w in ws if w not in self.row})
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for ws in found:
-            total = self.sums[list(map(self.row.__getitem__, ws))].sum(axis=0, dtype=np.float64) if ws else None
-            if total is None or not total[-1]:
-                out.append((UNKNOWN, 0.0))
-            else:
-                p = total[:-1] / total[-1]
-                out.append((self.net.languages[int(p.argmax())], min(1.0, float(p.max()))))
-        return out
+def pooled(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Each text's language and its probability, the mean over the text's positions."""
+    bytes_of = [spelled(t) for t in texts]
+    data, labelled, of = windows(bytes_of)
+    sums = np.zeros((len(texts), len(net.languages)))
+    for a in range(0, len(of), AT_ONCE):
+        some = slice(a, a + AT_ONCE)
+        prob = np.einsum("tnc,tn->nc", net.label(data[:, some]), labelled[:, some].astype(np.float32))
+        np.add.at(sums, of[some], prob)
+    out = []
+    for total, t in zip(sums, bytes_of, strict=True):
+        p = total / max(1, len(t))
+        out.append((net.languages[int(p.argmax())], min(1.0, float(p.max()))) if t else (UNKNOWN, 0.0))
+    return out
 
 
-def label_positions(net: Network, word: bytes) -> np.ndarray:
-    """Probabilities (position, language) of one unit."""
-    return net.label(as_bytes([word]))[:, 0, :]
+def label_positions(net: Network, text: str) -> tuple[bytes, np.ndarray]:
+    """The bytes read and the probabilities (position, language) of each."""
+    data, labelled, _ = windows([spelled(text)])
+    prob = net.label(data)
+    return spelled(text), prob.transpose(1, 0, 2)[labelled.T]
 
 
-def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS, words: int = WORDS) -> Network | None:
-    """Train on at most ``documents`` rows with a language, spread over the languages, and ``words`` units of each."""
+def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS) -> Network | None:
+    """Train on the whole texts of at most ``documents`` rows with a language, spread over the languages."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(documents).collect()
     if not counts:
         return None
     share = documents / len(counts)
-    # about twice the wanted share of each language by hash, then the least hashes of all
+    # about the wanted share of each language by hash, then the least hashes of all
     take = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * share / r["count"])))])
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     near = rows.withColumn("h", h / F.element_at(take, F.col("lang"))).filter("h < 1")
     chosen = near.select("doc_id", "lang", "h").orderBy("h", "doc_id").limit(documents)
+    sample = near.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
 
     def make():
-        def work(cols):
-            got = []
-            for t in cols["text"]:
-                ws = units(t)
-                got.append([ws[i * len(ws) // words][:UNIT] for i in range(min(words, len(ws)))] if len(ws) > words else [w[:UNIT] for w in ws])
-            return {"lang": cols["lang"], "words": got}
+        return lambda cols: {"lang": cols["lang"], "spelled": [spelled(t) for t in cols["text"]]}
 
-        return work
-
-    sample = near.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
-    got = map_batches(sample, make, "lang string, words array<binary>", "text").collect()
-    pairs = sorted((bytes(w), r["lang"]) for r in got for w in r["words"])
-    return train(pairs)
+    got = map_batches(sample.select("text", "lang"), make, "lang string, spelled binary", "text").collect()
+    return train(sorted((bytes(r["spelled"]), r["lang"]) for r in got))
 
 
 def identify(df: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,10 +233,8 @@ def identify(df: DataFrame, net: Network | None, *, id_col: str = "doc_id", text
     shared = broadcast_value(df.sparkSession, net)
 
     def make():
-        label = Labeller(shared.value) if shared.value else lambda texts: [(UNKNOWN, 0.0)] * len(texts)
-
         def work(cols):
-            got = label(cols["text"])
+            got = pooled(shared.value, cols["text"]) if shared.value else [(UNKNOWN, 0.0)] * len(cols["text"])
             return {"doc_id": cols["doc_id"], "lang_pred": [x for x, _ in got], "score": [s for _, s in got]}
 
         return work
@@ -248,8 +249,7 @@ def keep_identified(df: DataFrame, net: Network | None, *, text_col: str = "text
     def make():
         if shared.value is None:
             return lambda texts: [False] * len(texts)
-        label = Labeller(shared.value)
-        return lambda texts: [lang != UNKNOWN and s >= least for lang, s in label(texts)]
+        return lambda texts: [lang != UNKNOWN and s >= least for lang, s in pooled(shared.value, texts)]
 
     return filter_rows(df, text_col, make)
 
