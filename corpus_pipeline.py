@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold."""
-    return toxicity.drop_toxic(docs, toxicity.learn(toxicity.labelled_rows(spark, sf_dir, docs)))
+    return toxicity.drop_toxic(docs, toxicity.learn(toxicity.labelled_rows(spark, sf_dir, docs), docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

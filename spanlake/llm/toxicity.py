@@ -1,36 +1,39 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning takes a bounded sample of labelled rows (EXAMPLES, those of least hash). Terms are
-words and word beginnings; those that mark the label most strongly become the index's
-vocabulary. Examples lie in blocks; each term's postings keep their largest weight in each
-block, so a block whose bound is under the k-th best cosine is skipped without being read, and
-the neighbours found are exactly the k nearest. They vote by cosine; votes pass through a
-monotone calibration fitted on the examples with themselves left out. Documents without any
-term of the vocabulary get the rate of such examples.
-
-Defined results: null and empty texts have no terms; equal cosines go to the example of the
-lower number; with no labelled rows every score is 0 and there is no evidence; rows whose label
-or id is null are not learned from; texts are always scored whole.
+Learning takes a bounded sample of labelled rows (EXAMPLES, those of least hash). Every word of
+the examples is a term; a term's weight is its inverse document frequency, counted over all
+documents of the corpus, times how strongly it marks the label among the examples (FLOOR for a
+term that does not). Examples lie in blocks, like by like; a term's postings keep their largest
+weight in each block, so a block whose bound is under the k-th best cosine so far is not read,
+and the neighbours found are exactly the k nearest. They vote by cosine; votes pass through a
+monotone calibration fitted on the examples with themselves left out.
+
+Defined results: null and empty texts, and texts without a word of any example, have no terms,
+no evidence and the rate of such examples; equal cosines go to the example of the lower number;
+with no labelled rows every score is 0; rows whose label or id is null are not learned from;
+repeated labelled rows count once; texts are always scored whole.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import broadcast_value, bucket, filter_rows, map_batches, materialize, read
+from ._base import arrow_schema, broadcast_value, bucket, filter_rows, map_batches, pieces, read
 
-#: Bounds of what is learned: labelled rows, terms, and the examples in an index block.
-EXAMPLES, TERMS, BLOCK = 8192, 2048, 64
+#: Labelled rows that are learned from, and examples in an index block.
+EXAMPLES, BLOCK = 8192, 64
 NEIGHBOURS, THRESHOLD, PRIOR_VOTES = 15, 0.7, 0.5
-BEGINNINGS = (3, 4, 5, 6, 7)
+#: Weight of a term that does not mark the label; cases taken off its positives; chi-square at which it weighs a quarter.
+FLOOR, DOUBT, HALF = 0.05, 1.5, 15.0
 _LETTERS = bytes(b if b >= 128 or chr(b) in string.ascii_letters else 32 for b in range(256))
-#: Words whose terms a worker remembers.
-REMEMBERED = 200_000
 
 
 def word_counts(text: str | None) -> dict[bytes, int]:
@@ -40,102 +43,119 @@ def word_counts(text: str | None) -> dict[bytes, int]:
     return counts
 
 
-def word_terms(word: bytes) -> list[str]:
-    """The word, and its beginnings if it is longer."""
-    w = word.decode("utf-8", "ignore")
-    return ["=" + w, *[w[:k] for k in BEGINNINGS if len(w) > k]]
-
-
-class Terms:
-    """Counts of the vocabulary's terms in a text."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known, vocabulary = self.known, self.vocabulary
-        for w, n in word_counts(text).items():
-            ids = known.get(w)
-            if ids is None:
-                ids = [vocabulary[t] for t in word_terms(w) if t in vocabulary]
-                if len(known) < REMEMBERED:
-                    known[w] = ids
-            for t in ids:
-                out[t] = out.get(t, 0) + n
-        return out
+def spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [start, stop) in a row, and the ranges' lengths."""
+    n = stops - starts
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - n), n), n
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors: postings by block and term, and each term's largest weight in each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = max(1, -(-self.n // block))
-        self.most = np.zeros((terms, self.blocks), np.float64)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.blocks):
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for i in range(b * block, min(self.n, (b + 1) * block)):
-                for t, w in vectors[i].items():
-                    lists.setdefault(t, []).append((i - b * block, w))
-            self.postings.append({t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()})
-            for t, (_, w) in self.postings[-1].items():
-                self.most[t, b] = w.max()
-
-    def nearest(self, query: dict[int, float], k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine (above zero), best first, ties by number; ``but`` is left out."""
-        if not query:
-            return []
-        terms, weights = list(query), np.fromiter(query.values(), np.float64, len(query))
-        bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            scores, lists = np.zeros(self.block), self.postings[b]
-            for t, w in query.items():
-                if t in lists:
-                    at, x = lists[t]
-                    scores[at] += w * x
-            found = np.flatnonzero(scores)
-            best += [(-s, b * self.block + i) for s, i in zip(scores[found].tolist(), found.tolist(), strict=True) if b * self.block + i != but]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+    """Postings sorted by term, then example; an entry for each term and block has their largest weight."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = BLOCK):
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        pair = term[order].astype(np.int64) * self.blocks + self.example // block
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.starts = np.append(first, len(pair))
+        self.blocks_of = (pair[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.entries = np.searchsorted(pair[first] // self.blocks, np.arange(terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the k examples of largest cosine (above zero), best first, ties by number; ``but`` is left out."""
+        entries, n = spans(self.entries[terms], self.entries[terms + 1])
+        query, block = np.repeat(weights, n), self.blocks_of[entries]
+        bound = np.bincount(block, query * self.most[entries], self.blocks)
+        scores, unread = np.zeros(self.n), bound > 0
+        least = 0.0
+        # the blocks of best bounds give a first k-th best; then all blocks that may still hold a better one
+        for few in (2 + k // self.block, self.blocks):
+            promising = np.flatnonzero(unread & (bound >= least - 1e-9))
+            reads = promising[np.argsort(-bound[promising], kind="stable")][:few]
+            now = np.zeros(self.blocks, bool)
+            now[reads] = True
+            unread &= ~now
+            here = now[block]
+            at, lengths = spans(self.starts[entries[here]], self.starts[entries[here] + 1])
+            scores += np.bincount(self.example[at], np.repeat(query[here], lengths) * self.weight[at], self.n)
+            if 0 <= but:
+                scores[but] = 0
+            least = np.partition(scores, -k)[-k] if self.n > k else 0.0
+        found = np.flatnonzero((scores > 0) & (scores >= least))
+        found = found[np.argsort(-scores[found], kind="stable")][:k]
+        return scores[found], found
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        silent = [y for _, y, terms in examples if not terms]
-        self.base = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
-        self.silent = (sum(silent) + self.base) / (len(silent) + 1)
-        # like stands by like, so that blocks have tight bounds
-        spoken = sorted((max(terms, key=lambda t: (self.weight(t, terms[t]), t)), doc, y, tuple(sorted(terms.items()))) for doc, y, terms in examples if terms)
-        self.ids, self.labels = [x[1] for x in spoken], np.array([x[2] for x in spoken], np.float64)
-        self.index = BlockMaxIndex([self.unit(dict(x[3])) for x in spoken], max(1, len(vocabulary)))
-        left_out = [self.vote(self.index.nearest(self.unit(dict(x[3])), k, but=i)) for i, x in enumerate(spoken)]
-        self.steps = isotonic(left_out, self.labels.tolist())
-
-    def weight(self, term: int, count: int) -> float:
-        return (1 + math.log(count)) * self.idf[term]
-
-    def unit(self, terms: dict[int, int]) -> dict[int, float]:
-        raw = {t: self.weight(t, n) for t, n in terms.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    """Examples as vectors over ``terms`` (their words); ``example``, ``term`` and ``count`` are the postings."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, terms: pa.Array, in_docs: np.ndarray, n_docs: int, k: int = NEIGHBOURS):
+        self.terms, self.k = terms, k
+        self.base = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
+        marks = marking(np.bincount(term, minlength=len(terms)), np.bincount(term, labels[example], len(terms)), float(labels.mean()) if len(labels) else 0.0)
+        self.weights = (np.log((1 + n_docs) / (1 + in_docs)) + 1) * (FLOOR + (1 - FLOOR) * marks)
+        spoken = np.bincount(example, minlength=len(ids)) > 0
+        self.silent = float((labels[~spoken].sum() + self.base) / ((~spoken).sum() + 1)) if len(ids) else 0.0
+        # Like stands by like, so that blocks have tight bounds: by strongest mark, then by commonest word.
+        of = np.argsort(example, kind="stable")
+        at = np.flatnonzero(np.diff(example[of], prepend=-1))
+        mark, common = np.full(len(ids), -1), np.full(len(ids), -1)
+        for rows in np.split(of, at[1:]) if len(at) else []:
+            strongest = term[rows[np.argmax(marks[term[rows]])]]
+            mark[example[rows[0]]] = strongest if marks[strongest] > 0.25 else -1
+            common[example[rows[0]]] = term[rows[np.argmax(count[rows])]]
+        order = np.lexsort((ids, common, mark))
+        order = order[spoken[order]]
+        place = np.zeros(len(ids), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.labels = ids[order], labels[order].astype(np.float64)
+        raw = (1 + np.log(count)) * self.weights[term]
+        norm = np.sqrt(np.bincount(example, raw * raw, len(ids)))
+        self.index = BlockMaxIndex(place[example], term, raw / norm[example], len(order), len(terms))
+        self.steps: tuple[list[float], list[float]] = ([], [])
+        self._place: dict | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_place": None}
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms and their weights, of length one."""
+        if self._place is None:
+            self._place = {w: i for i, w in enumerate(self.terms.to_pylist())}
+        of = self._place.get
+        known = [(i, n) for w, n in word_counts(text).items() if (i := of(w)) is not None]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, n = np.array(known, np.int64).T
+        x = (1 + np.log(n)) * self.weights[at]
+        return at, x / math.sqrt(float(x @ x))
+
+    def vote(self, cosines: np.ndarray, near: np.ndarray) -> float:
         """The cosine-weighted share of positive neighbours, with a little of the base rate."""
-        total = sum(s for s, _ in near)
-        return (sum(s * self.labels[i] for s, i in near) + PRIOR_VOTES * self.base) / (total + PRIOR_VOTES)
+        return float((cosines @ self.labels[near] + PRIOR_VOTES * self.base) / (cosines.sum() + PRIOR_VOTES))
+
+    def calibrate(self, votes: list[float]) -> None:
+        self.steps = isotonic(votes, self.labels.tolist())
 
-    def score(self, terms: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        if not terms:
-            return self.silent, []
-        near = self.index.nearest(self.unit(terms), self.k)
-        raw = self.vote(near)
-        return float(np.interp(raw, *self.steps)) if len(self.steps[0]) else raw, near
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The calibrated score, and the cosines and numbers of the neighbours."""
+        terms, weights = self.vector(text)
+        if not len(terms):
+            return self.silent, np.zeros(0), np.zeros(0, np.int64)
+        cosines, near = self.index.nearest(terms, weights, self.k)
+        raw = self.vote(cosines, near)
+        return float(np.interp(raw, *self.steps)) if self.steps[0] else raw, cosines, near
+
+
+def marking(count: np.ndarray, positive: np.ndarray, base: float) -> np.ndarray:
+    """How strongly terms mark the label, 0 to 1: by the chi-square of a term that is commoner with it than by chance."""
+    expected = count * base
+    above = np.maximum(0.0, positive - DOUBT - expected)
+    strength = above**2 / np.maximum(expected, 1e-9) + above**2 / np.maximum(count - expected, 1e-9)
+    return (strength / (strength + HALF)) ** 2
 
 
 def isotonic(x: list[float], y: list[float]) -> tuple[list[float], list[float]]:
@@ -150,50 +170,85 @@ def isotonic(x: list[float], y: list[float]) -> tuple[list[float], list[float]]:
     return [p[0] / p[2] for p in pools], [(p[1] + 0.05) / (p[2] + 0.1) for p in pools]
 
 
-def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """Fit on at most ``examples`` labelled rows; what reaches the driver is bounded by that and ``terms``."""
+def document_frequencies(corpus: DataFrame, terms: pa.Array, *, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many texts each of ``terms`` occurs, and the number of texts."""
+    shared = broadcast_value(corpus.sparkSession, terms)
+    struct, out = arrow_schema("term int, n long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(shared.value.to_pylist())}
+        found, texts = np.zeros(len(place), np.int64), 0
+        for batch in batches:
+            for part in pieces(batch, 0):
+                texts += part.num_rows
+                at = [i for t in part.column(0).to_pylist() for w in set(word_counts(t)) if (i := place.get(w)) is not None]
+                found += np.bincount(np.array(at, np.int64), minlength=len(place))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(found[some], texts), pa.int64())], schema=out)
+
+    got = corpus.select(F.col(text_col).cast("string")).mapInArrow(count, struct).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(terms) + 1, np.int64)  # the last place, -1, has the number of texts
+    n[got["term"].to_numpy()] = got["n"].to_numpy()
+    return n[:-1], int(n[-1])
+
+
+def learn(labelled: DataFrame, corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
+    """Fit on at most ``examples`` rows of ``labelled``, with term counts of all of ``corpus``; the driver holds the examples' words."""
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and y is not null")
-    chosen = rows.select("doc_id", "y").withColumn("h", F.xxhash64(F.col("doc_id"))).orderBy("h", "doc_id").limit(examples)
-    chosen_ids = {r["doc_id"] for r in chosen.collect()}
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     spark = labelled.sparkSession
     # A broadcast filter: the ids are at most ``examples``.
-    keys = spark.createDataFrame([(i,) for i in sorted(chosen_ids)], "doc_id long")
-    sample = materialize(rows.join(F.broadcast(keys), "doc_id", "left_semi").dropDuplicates(["doc_id", "y", "text"]), "labelled")
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("y", (F.col("y") > 0).cast("int")).distinct()
 
-    def statistics():
+    def split():
         def work(cols):
-            found: dict[str, list[int]] = {}
-            for y, text in zip(cols["y"], cols["text"], strict=True):
-                for t in {t for w in word_counts(text) for t in word_terms(w)}:
-                    found.setdefault(t, [0, 0])[1 if y else 0] += 1
-            return {"term": list(found), "neg": [x[0] for x in found.values()], "pos": [x[1] for x in found.values()]}
+            got = [word_counts(t) for t in cols["text"]]
+            return {"doc_id": cols["doc_id"], "y": cols["y"], "words": [list(g) for g in got], "counts": [list(g.values()) for g in got]}
 
         return work
 
-    sizes = sample.agg(F.count("*").alias("n"), F.sum((F.col("y") > 0).cast("long")).alias("p")).first()
-    n, p = sizes["n"], sizes["p"] or 0
-    base = p / n if n else 0.0
-    counted = map_batches(sample, statistics, "term string, neg long, pos long", "text").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    df = F.col("pos") + F.col("neg")
-    expected = df * base
-    # signed chi-square of a term that is commoner with the label
-    strength = (F.col("pos") - expected) ** 2 / F.greatest(expected, F.lit(1e-9)) + (F.col("pos") - expected) ** 2 / F.greatest(df - expected, F.lit(1e-9))
-    marks = counted.filter((F.col("pos") >= 3) & (F.col("pos") > 2.5 * expected)).withColumn("strength", strength).filter("strength > 15.0").orderBy(F.desc("strength"), "term").limit(terms).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(marks)}
-    idf = np.array([math.log((1 + n) / (1 + r["pos"] + r["neg"])) + 1 for r in marks])
-    shared = broadcast_value(spark, vocabulary)
-
-    def vectors():
-        count = Terms(shared.value)
+    got = map_batches(sample, split, "doc_id long, y int, words array<binary>, counts array<int>", "text").toArrow().combine_chunks()
+    got = got.take(pc.sort_indices(got, [("doc_id", "ascending"), ("y", "ascending")]))
+    lists = [got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c] for c in ("words", "counts")]
+    coded = pc.cast(lists[0].flatten(), pa.binary()).dictionary_encode()
+    # terms in order of their words, whatever the order of rows
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    terms, term = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+    example = np.repeat(np.arange(got.num_rows), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+    in_docs, n_docs = document_frequencies(corpus, terms, text_col=text_col) if len(terms) else (np.zeros(0), 0)
+    model = Model(got["doc_id"].to_numpy(), got["y"].to_numpy(), example, term, lists[1].flatten().to_numpy().astype(np.float64), terms, in_docs, n_docs, neighbours)
+    if len(model.ids):
+        model.calibrate(left_out_votes(spark, model))
+    return model
+
+
+def left_out_votes(spark: SparkSession, model: Model) -> list[float]:
+    """Each example's vote by the others."""
+    shared = broadcast_value(spark, model)
+
+    def make():
+        m = shared.value
+        index = m.index
+        term = np.repeat(np.arange(len(index.entries) - 1), np.diff(index.starts[index.entries]))
+        of = np.argsort(index.example, kind="stable")
+        at = np.searchsorted(index.example[of], np.arange(index.n + 1))
 
         def work(cols):
-            got = [count(t) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "y": cols["y"], "terms": [list(g) for g in got], "counts": [list(g.values()) for g in got]}
+            votes = []
+            for i in cols["id"]:
+                rows = of[at[i] : at[i + 1]]
+                votes.append(m.vote(*index.nearest(term[rows], index.weight[rows].astype(np.float64), m.k, but=i)))
+            return {"id": cols["id"], "vote": votes}
 
         return work
 
-    cases = map_batches(sample, vectors, "doc_id long, y int, terms array<int>, counts array<int>", "text").collect()
-    return Model(vocabulary, idf, sorted((r["doc_id"], 1 if r["y"] else 0, dict(zip(r["terms"], r["counts"], strict=True))) for r in cases) if cases else [])
+    n = len(model.ids)
+    got = map_batches(spark.range(0, n, 1, max(1, min(64, n // 128))), make, "id long, vote double").toArrow()
+    votes = np.zeros(n)
+    votes[got["id"].to_numpy()] = got["vote"].to_numpy()
+    return votes.tolist()
 
 
 def score_documents(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -203,15 +258,14 @@ def score_documents(df: DataFrame, model: Model, *, id_col: str = "doc_id", text
 
     def make():
         m = shared.value
-        count = Terms(m.vocabulary)
 
         def work(cols):
-            got = [m.score(count(t)) for t in cols["text"]]
+            got = [m.score(t) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"],
-                "score": [s for s, _ in got],
-                "predicted": [int(s >= threshold) for s, _ in got],
-                "evidence": [[{"example": m.ids[i], "cosine": c, "label": int(m.labels[i])} for c, i in near] for _, near in got],
+                "score": [s for s, _, _ in got],
+                "predicted": [int(s >= threshold) for s, _, _ in got],
+                "evidence": [[{"example": int(m.ids[i]), "cosine": c, "label": int(m.labels[i])} for c, i in zip(cosines.tolist(), near.tolist(), strict=True)] for _, cosines, near in got],
             }
 
         return work
@@ -223,12 +277,7 @@ def score_documents(df: DataFrame, model: Model, *, id_col: str = "doc_id", text
 def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``df`` that score under ``threshold``."""
     shared = broadcast_value(df.sparkSession, model)
-
-    def make():
-        count = Terms(shared.value.vocabulary)
-        return lambda texts: [shared.value.score(count(t))[0] < threshold for t in texts]
-
-    return filter_rows(df, text_col, make)
+    return filter_rows(df, text_col, lambda: lambda texts: [shared.value.score(t)[0] < threshold for t in texts])
 
 
 def labelled_rows(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
@@ -236,11 +285,11 @@ def labelled_rows(spark: SparkSession, sf_dir: str, documents: DataFrame | None
     docs = (documents if documents is not None else read(spark, sf_dir, "documents")).select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(bucket(F.col("doc_id"), 3) != 1)
     # The least hashes are taken before the join, so that only the sample's texts move.
-    picked = labels.filter("toxic is not null").withColumn("h", F.xxhash64(F.col("doc_id").cast("long"))).orderBy("h", "doc_id").limit(EXAMPLES).select("doc_id", "toxic")
+    picked = labels.filter("toxic is not null").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(EXAMPLES)
     return docs.join(F.broadcast(picked), "doc_id")
 
 
 def op2_tfidf_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = learn(labelled_rows(spark, sf_dir))
-    scored = score_documents(read(spark, sf_dir, "documents"), model)
+    docs = read(spark, sf_dir, "documents")
+    scored = score_documents(docs, learn(labelled_rows(spark, sf_dir), docs))
     return scored.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "evidence")
