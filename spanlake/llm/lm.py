@@ -4,10 +4,12 @@ A window network predicts every word from two words on either side; a document's
 sum of the conditional log-probabilities of all its words. Words are the corpus's commonest
 (counted over all documents) and hash classes for the rest; a rare word's score has the factor
 P(word | hash class) by the counts of all documents, which stay a distributed table. The network's
-output is factored: classes of 64, then the word in its class. Training is data-parallel numpy: every task runs Adam over the
-positions of all its documents, every one in each round, and the tasks' weights are averaged by
-the number of positions, block by block on the executors, for each round. What is gathered
-(counts and weights of every task) grows with the corpus.
+output is factored: classes of 64, then the word in its class. Texts are cut into words once and
+kept in chunks, each with its own word list. Training is data-parallel numpy: every task runs
+Adam over the positions of all its documents, every one in each round, in batches that grow with
+its steps; the tasks' weights are averaged by the number of positions, in a tree on the
+executors, for each round. What is gathered (counts and weights of every task) grows with the
+corpus.
 
 Defined results: null and empty texts have no words, score 0 and a null mean; equal rows get
 equal scores; an empty table gives no rows. Texts are scored whole.
@@ -15,6 +17,7 @@ equal scores; an empty table gives no rows. Texts are scored whole.
 
 from __future__ import annotations
 
+import math
 import string
 import zlib
 from collections.abc import Iterator
@@ -29,11 +32,15 @@ from ._base import arrow_schema, broadcast_value, materialize, pieces, read
 WIDTH, COMMON, RARE = 64, 3840, 256
 TOKENS, EDGE = COMMON + RARE, COMMON + RARE
 EMBED, HIDDEN, SIDE = 16, 32, 2
-STRIDE, ROUNDS, BATCH, RATE, SEED = 1, 2, 4096, 0.01, 5
-#: Weights in a row of the averaging.
-CHUNK = 4096
-#: Words a task counts before it passes the counts on, and rare words of a chunk of documents; its tokens.
-COUNTED, CHUNK_TOKENS = 150_000, 2_000_000
+ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.01, 5
+#: Steps after which a task's batches double, up to LARGEST.
+DOUBLES, LARGEST = 256, 16_384
+#: Weights in a row of the averaging, and tasks averaged at once.
+CHUNK, FAN = 4096, 64
+#: Words and tokens at which a chunk of documents ends.
+COUNTED, CHUNK_TOKENS = 150_000, 1_000_000
+#: Positions scored at once.
+AT_ONCE = 8192
 _KEEP = bytes(b | 32 if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
@@ -48,38 +55,67 @@ class Words(dict):
         return COMMON + zlib.crc32(word) % RARE
 
 
-def word_totals(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """word and n, its count over all texts."""
-    struct, out = arrow_schema("word binary, n long")
+def chunks(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents in chunks: a chunk's words and their counts, its documents' ids and lengths, and the places of all
+    their words among the chunk's (little-endian 32-bit)."""
+    from pyspark import TaskContext
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    struct, out = arrow_schema(f"chunk long, words array<binary>, counts array<long>, doc_ids array<{kind}>, lengths array<long>, ids binary")
 
-        def passed() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=out)
-            seen.clear()
-            return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        place = _Places()
+        names, lengths, held, n = [], [], [], 0
+
+        def ended() -> pa.RecordBatch:
+            nonlocal chunk, place, names, lengths, held, n
+            ids = np.concatenate([np.zeros(0, "<u4"), *held])
+            made = [chunk], [list(place)], [np.bincount(ids, minlength=len(place))], [names], [lengths], [ids.tobytes()]
+            chunk, place, names, lengths, held, n = chunk + 1, _Places(), [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
 
         for batch in batches:
-            for part in pieces(batch, 0):
-                for text in part.column(0).to_pylist():
-                    for w in words(text):
-                        seen[w] = seen.get(w, 0) + 1
-                if len(seen) > COUNTED:
-                    yield passed()
-        yield passed()
+            for part in pieces(batch, 1):
+                of = place.__getitem__
+                for ws in map(words, part.column(1).to_pylist()):
+                    held.append(np.fromiter(map(of, ws), "<u4", len(ws)))
+                    lengths.append(len(ws))
+                    n += len(ws)
+                names += part.column(0).to_pylist()
+                if len(place) > COUNTED or n > CHUNK_TOKENS:
+                    yield ended()
+        if names:
+            yield ended()
 
-    return df.select(F.col(text_col).cast("string")).mapInArrow(count, struct).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, struct)
 
 
-def commonest(totals: DataFrame) -> dict[bytes, int]:
-    """The words of largest count, by falling count; COMMON at most reach the driver."""
-    top = totals.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top)}
+class _Places(dict):
+    """Words in order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
+
 
+def word_totals(table: DataFrame) -> DataFrame:
+    """word and n, its count over all chunks."""
+    return table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
 
-def vocabulary(df: DataFrame, *, text_col: str = "text") -> dict[bytes, int]:
-    return commonest(word_totals(df, text_col=text_col))
+
+def commonest(totals: DataFrame) -> dict[bytes, int]:
+    """The words of largest count, by falling count; little more than COMMON reach the driver."""
+    # classes of counts, so that only words that may be among them are sorted
+    of = F.floor(F.log2("n") * 16).cast("int")
+    least, held = 0, 0
+    for r in totals.groupBy(of.alias("klass")).count().orderBy(F.desc("klass")).collect():
+        least, held = r["klass"], held + r["count"]
+        if held >= COMMON:
+            break
+    top = totals.filter(of >= least).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    return {bytes(r["word"]): i for i, r in enumerate(top)}
 
 
 def class_totals(totals: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
@@ -96,46 +132,10 @@ def spark_words(spark: SparkSession, vocab: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame([(bytearray(w),) for w in vocab], "word binary")
 
 
-def tokens(df: DataFrame, vocab: dict[bytes, int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in chunks: doc_id, ids (little-endian 16-bit) and rare, the places of their rare words among the
-    chunk's (little-endian 32-bit). Each chunk also has one row with those words and null ids."""
-    from pyspark import TaskContext
-
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = broadcast_value(df.sparkSession, vocab)
-    struct, out = arrow_schema(f"chunk long, doc_id {kind}, ids binary, rare binary, words array<binary>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Words(shared.value).__getitem__
-        chunk, held, local = TaskContext.get().partitionId() << 32, 0, {}
-
-        def made(n, *columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([chunk] * n, *columns), out, strict=True)], schema=out)
-
-        def ended() -> pa.RecordBatch:
-            nonlocal chunk, held
-            row = made(1, [None], [None], [None], [list(local)])
-            chunk, held = chunk + 1, 0
-            local.clear()
-            return row
-
-        for batch in batches:
-            for part in pieces(batch, 1):
-                ids, rare = [], []
-                for ws in map(words, part.column(1).to_pylist()):
-                    x = np.fromiter(map(of, ws), "<u2", len(ws))
-                    ids.append(x.tobytes())
-                    rare.append(np.array([local.setdefault(ws[i], len(local)) for i in np.flatnonzero(x >= COMMON).tolist()], "<u4").tobytes())
-                    held += len(ws)
-                n = part.num_rows
-                yield made(n, part.column(0), ids, rare, [None] * n)
-                if len(local) > COUNTED or held > CHUNK_TOKENS:
-                    yield ended()
-        if held or local:
-            yield ended()
-
-    return docs.mapInArrow(run, struct)
+def token_of(vocab: dict[bytes, int], chunk_words: list[bytes]) -> np.ndarray:
+    """The token of each of a chunk's words."""
+    of = Words(vocab).__getitem__
+    return np.fromiter(map(of, chunk_words), np.uint16, len(chunk_words))
 
 
 def shapes() -> dict[str, tuple]:
@@ -155,185 +155,226 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+#: Logits are held within these bounds, so that their exponentials neither overflow nor vanish.
+MOST_LOGIT = 40.0
+_ONES = np.ones(WIDTH, np.float32)
+
+
+def _normalise(x: np.ndarray) -> np.ndarray:
+    """Turns logits into exponentials, in place; returns their sums."""
+    np.clip(x, -MOST_LOGIT, MOST_LOGIT, out=x)
+    np.exp(x, out=x)
+    return x @ _ONES.astype(x.dtype, copy=False)
 
 
 def hidden(p: dict, context: np.ndarray) -> np.ndarray:
     return np.tanh(p["embed"][context].reshape(len(context), -1) @ p["hide"] + p["hide_b"])
 
 
+def by_class(klass: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, start, stop) of the runs of a sorted array."""
+    present, starts = np.unique(klass, return_index=True)
+    return list(zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(klass)], strict=True))
+
+
 def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(class | window) + log P(word | class, window) of each target."""
-    klass, inner = target // WIDTH, target % WIDTH
-    out = _log_softmax(h @ p["klass"] + p["klass_b"])[np.arange(len(h)), klass]
-    order = np.argsort(klass, kind="stable")
-    present, at = np.unique(klass[order], return_index=True)
-    for c, rows in zip(present.tolist(), np.split(order, at[1:]), strict=True):
-        x = h[rows] @ p["word"][c] + p["word_b"][c]
-        top = x.max(axis=1)
-        out[rows] += x[np.arange(len(rows)), inner[rows]] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
+    h, klass, inner = h[order], target[order] // WIDTH, target[order] % WIDTH
+    some = np.arange(len(h))
+    x = h @ p["klass"]
+    x += p["klass_b"]
+    at = np.clip(x[some, klass], -MOST_LOGIT, MOST_LOGIT)
+    logs = at - np.log(_normalise(x))
+    for c, a, b in by_class(klass):
+        np.matmul(h[a:b], p["word"][c], out=x[a:b])
+        x[a:b] += p["word_b"][c]
+    at = np.clip(x[some, inner], -MOST_LOGIT, MOST_LOGIT)
+    logs += at - np.log(_normalise(x))
+    out = np.empty(len(h), np.float64)
+    out[order] = logs
     return out
 
 
 def _loss_and_slopes(x: np.ndarray, at: np.ndarray) -> float:
     """Turns logits into the mean loss's gradients by them, in place; returns the summed loss."""
     some = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    loss = -float(x[some, at].sum(dtype=np.float64))
-    np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
+    loss = -float(np.clip(x[some, at], -MOST_LOGIT, MOST_LOGIT).sum(dtype=np.float64))
+    total = _normalise(x)
     loss += float(np.log(total).sum(dtype=np.float64))
-    x /= total
-    x[some, at] -= 1
-    x /= len(x)
+    x *= (1 / (total * len(x)))[:, None]
+    x[some, at] -= x.dtype.type(1 / len(x))
     return loss
 
 
 def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray) -> float:
     """Adds the mean loss's gradients to ``g``; returns the loss."""
     n = len(target)
-    order = np.argsort(target // WIDTH, kind="stable")
+    order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
     context, target = context[order], target[order]
     klass, inner = target // WIDTH, target % WIDTH
-    flat = p["embed"][context].reshape(n, -1)
-    h = np.tanh(flat @ p["hide"] + p["hide_b"])
-    d = h @ p["klass"] + p["klass_b"]
+    flat = p["embed"].take(context, axis=0).reshape(n, -1)
+    h = flat @ p["hide"]
+    h += p["hide_b"]
+    np.tanh(h, out=h)
+    d = h @ p["klass"]
+    d += p["klass_b"]
     loss = _loss_and_slopes(d, klass)
+    ones = _ONES[:1].repeat(n).astype(h.dtype, copy=False)
     g["klass"] += h.T @ d
-    g["klass_b"] += d.sum(axis=0)
+    g["klass_b"] += ones @ d
     dh = d @ p["klass"].T
-    present, starts = np.unique(klass, return_index=True)
-    spans = list(zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
+    spans = by_class(klass)
     for c, a, b in spans:
-        d[a:b] = h[a:b] @ p["word"][c] + p["word_b"][c]
+        np.matmul(h[a:b], p["word"][c], out=d[a:b])
+        d[a:b] += p["word_b"][c]
     loss += _loss_and_slopes(d, inner)
     for c, a, b in spans:
-        g["word"][c] += h[a:b].T @ d[a:b]
-        g["word_b"][c] += d[a:b].sum(axis=0)
-        dh[a:b] += d[a:b] @ p["word"][c].T
+        x = d[a:b]
+        g["word"][c] += h[a:b].T @ x
+        g["word_b"][c] += ones[a:b] @ x
+        dh[a:b] += x @ p["word"][c].T
     dh *= 1 - h * h
     g["hide"] += flat.T @ dh
-    g["hide_b"] += dh.sum(axis=0)
+    g["hide_b"] += ones @ dh
     slopes, at = (dh @ p["hide"].T).reshape(-1, EMBED), context.ravel()
     for j in range(EMBED):
         g["embed"][:, j] += np.bincount(at, slopes[:, j], TOKENS + 1)
     return loss / n
 
 
-def windows(ids: list[bytes], stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, targets, lengths) of the documents' positions that fall on the stride, edges filled with EDGE."""
-    arrays = [np.frombuffer(x, "<u2") for x in ids]
-    lengths = np.array([len(a) for a in arrays], np.int64)
-    pad = np.full(SIDE, EDGE, np.uint16)
-    joined = np.concatenate([pad, *[x for a in arrays for x in (a, pad)]]) if arrays else pad
-    at = np.flatnonzero(joined != EDGE)[::stride]
-    context = np.stack([joined[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1).astype(np.int64) if len(at) else np.zeros((0, 2 * SIDE), np.int64)
-    return context, joined[at].astype(np.int64), lengths
+class Adam:
+    """Steps on one array, without further memory."""
+
+    def __init__(self, flat: np.ndarray, rate: float = RATE):
+        self.flat, self.rate, self.step = flat, rate, 0
+        self.grad, self.first, self.second, self.held = (np.zeros_like(flat) for _ in range(4))
+
+    def __call__(self) -> None:
+        self.step += 1
+        held, grad = self.held, self.grad
+        self.first *= 0.9
+        self.first += np.multiply(grad, 0.1, out=held)
+        self.second *= 0.99
+        np.multiply(grad, grad, out=held)
+        held *= 0.01
+        self.second += held
+        np.sqrt(self.second, out=held)
+        held += 1e-8
+        np.divide(self.first, held, out=held)
+        held *= self.rate * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        self.flat -= held
+        grad[:] = 0
+
+
+class Windows:
+    """The positions of a chunk's documents, edges filled with EDGE."""
 
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray):
+        self.at = np.arange(len(tokens)) + SIDE * (1 + np.repeat(np.arange(len(lengths)), lengths))
+        self.joined = np.full(len(tokens) + SIDE * (1 + len(lengths)), EDGE, np.uint16)
+        self.joined[self.at] = tokens
 
-def train_round(spark: SparkSession, table: DataFrame, weights: np.ndarray, *, stride: int = STRIDE, seed: int = SEED) -> np.ndarray:
+    def __call__(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and targets of some positions."""
+        at = self.at[which]
+        return np.stack([self.joined[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1).astype(np.int64), self.joined[at].astype(np.int64)
+
+
+def train_round(spark: SparkSession, table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray, *, seed: int = SEED) -> np.ndarray:
     """One pass of every task over its documents from ``weights``, then the average by positions."""
-    shared = broadcast_value(spark, weights)
-    struct, out = arrow_schema("chunk int, n long, weights array<float>")
+    from pyspark import TaskContext
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = shared.value.copy()
-        grad, first, second = (np.zeros_like(flat) for _ in range(3))
-        p, g, step, seen = views(flat), views(grad), 0, 0
-        held_c, held_t, waiting = [], [], 0
-
-        def update() -> None:
-            nonlocal step, seen, held_c, held_t, waiting
-            context, target = np.concatenate(held_c), np.concatenate(held_t)
-            order = np.random.default_rng(seed + step).permutation(len(target))
-            for a in range(0, len(order), BATCH):
-                rows = order[a : a + BATCH]
-                grad[:] = 0
-                gradients(p, g, context[rows], target[rows])
-                step += 1
-                first[:] = 0.9 * first + 0.1 * grad
-                second[:] = 0.99 * second + 0.01 * grad * grad
-                flat[:] -= RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * first / (np.sqrt(second) + 1e-8)
-            seen += len(target)
-            held_c, held_t, waiting = [], [], 0
+    shared = broadcast_value(spark, (weights, vocab))
+    struct, out = arrow_schema("task int, chunk int, n long, weights array<float>")
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, vocab = shared.value[0].copy(), shared.value[1]
+        update, seen = Adam(flat), 0
+        p, g = views(flat), views(update.grad)
         for batch in batches:
-            for part in pieces(batch):
-                context, target, _ = windows([x or b"" for x in part.column(0).to_pylist()], stride)
-                held_c.append(context)
-                held_t.append(target)
-                waiting += len(target)
-                if waiting >= 8 * BATCH:
+            for chunk_words, ids, lengths in zip(*(batch.column(i) for i in range(3)), strict=True):
+                tokens = token_of(vocab, chunk_words.as_py())[np.frombuffer(ids.as_buffer(), "<u4")]
+                of = Windows(tokens, lengths.values.to_numpy())
+                order = np.random.default_rng(seed + update.step).permutation(len(tokens))
+                a = 0
+                while a < len(order):
+                    b = min(len(order), a + min(LARGEST, BATCH << update.step // DOUBLES))
+                    gradients(p, g, *of(order[a:b]))
                     update()
-        if waiting:
-            update()
+                    a = b
+                seen += len(tokens)
         if seen:
-            for k in range(0, len(flat), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat[k : k + CHUNK]], pa.list_(pa.float32()))], schema=out)
+            n, task = -(-len(flat) // CHUNK), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([flat[k * CHUNK : (k + 1) * CHUNK] for k in range(n)], pa.list_(pa.float32()))], schema=out)
 
     def mean(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("n", "ascending")])
+        rows = rows.sort_by([("task", "ascending")])
         n = rows["n"].to_numpy().astype(np.float64)
-        x = np.stack([np.asarray(r.values if hasattr(r, "values") else r, np.float64) for r in rows["weights"]])
-        return pa.Table.from_arrays([rows["chunk"][:1].combine_chunks(), pa.array([int(n.sum())], pa.int64()), pa.array([(x * n[:, None]).sum(axis=0) / n.sum()], pa.list_(pa.float32()))], schema=out)
+        x = np.stack([np.asarray(r.values, np.float64) for r in rows["weights"]])
+        return pa.Table.from_arrays([rows["task"][:1].combine_chunks(), rows["chunk"][:1].combine_chunks(), pa.array([int(n.sum())], pa.int64()), pa.array([(x * n[:, None]).sum(axis=0) / n.sum()], pa.list_(pa.float32()))], schema=out)
 
-    got = table.select("ids").mapInArrow(local, struct).groupBy("chunk").applyInArrow(mean, struct).collect()
-    if not got:
+    parts = materialize(table.select("words", "ids", "lengths").mapInArrow(local, struct), "weights")
+    left = parts.agg(F.max("task")).first()[0]
+    if left is None:
         return weights
-    return np.concatenate([np.array(r["weights"], np.float32) for r in sorted(got, key=lambda r: r["chunk"])])
-
-
-def score_tokens(table: DataFrame, weights: np.ndarray, totals: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood; a chunk's documents meet the counts of its rare words in one task."""
-    shared = broadcast_value(table.sparkSession, (weights, classes))
-    kind = table.schema["doc_id"].dataType.simpleString()
+    left += 1
+    while left > 1:  # a tree: no task holds the weights of more than FAN others
+        parts = parts.withColumn("task", F.expr(f"task div {FAN}").cast("int")).groupBy("chunk", "task").applyInArrow(mean, struct)
+        left = -(-left // FAN)
+    return np.concatenate([np.array(r["weights"], np.float32) for r in sorted(parts.collect(), key=lambda r: r["chunk"])])
+
+
+def score_chunks(table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray, totals: DataFrame, classes: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood; a chunk meets the counts of its rare words in one task."""
+    spark = table.sparkSession
+    shared = broadcast_value(spark, (vocab, weights, classes))
+    kind = table.schema["doc_ids"].dataType.elementType.simpleString()
     struct, out = arrow_schema(f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
-    def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        weights, classes = shared.value
+    def score(table: pa.Table, counts: pa.Table) -> pa.Table:
+        vocab, weights, classes = shared.value
         p = views(weights)
         # what each word adds to the hidden layer in each place of the window
         adds = [np.ascontiguousarray(p["embed"] @ p["hide"][k * EMBED : (k + 1) * EMBED]) for k in range(2 * SIDE)]
-        known = np.zeros(counts.num_rows, np.int64)
-        known[counts["place"].to_numpy()] = counts["n"].to_numpy()
-        rows = []
-        for part in (p for batch in docs.to_batches() for p in pieces(batch)):
-            context, target, lengths = windows([x or b"" for x in part.column("ids").to_pylist()])
-            logs = np.zeros(len(target), np.float64)
-            for a in range(0, len(target), 32_768):
-                some = slice(a, a + 32_768)
-                h = p["hide_b"] + adds[0][context[some, 0]]
-                for k in range(1, 2 * SIDE):
-                    h += adds[k][context[some, k]]
-                logs[some] = log_probabilities(p, np.tanh(h, out=h), target[some])
-            at = np.flatnonzero(target >= COMMON)
-            places = np.frombuffer(b"".join(part.column("rare").to_pylist()), "<u4")
-            logs[at] += np.log(known[places]) - np.log(classes[target[at] - COMMON])
-            ends = np.cumsum(lengths)
-            total = np.concatenate([[0.0], np.cumsum(logs)])
-            sums = total[ends] - total[ends - lengths]
-            rows.append(pa.Table.from_arrays([part.column("doc_id"), pa.array(lengths), pa.array([float(s) if n else 0.0 for s, n in zip(sums, lengths, strict=True)], pa.float64()), pa.array([float(s / n) if n else None for s, n in zip(sums, lengths, strict=True)], pa.float64())], schema=out))
-        return pa.concat_tables(rows) if rows else out.empty_table()
-
-    docs = table.filter("ids is not null").select("chunk", "doc_id", "ids", "rare")
-    # a word is once in a chunk, so no word has many rows
-    lexicon = table.filter("ids is null").select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word"))
-    counts = lexicon.join(totals, "word").select("of", "place", "n")
+        chunk_words, names, lengths, ids = (table[c][0] for c in ("words", "doc_ids", "lengths", "ids"))
+        token = token_of(vocab, chunk_words.as_py())
+        # log P(word | its hash class), 0 for words that are tokens of their own
+        share = np.zeros(len(token))
+        at = counts["place"].to_numpy()
+        share[at] = np.log(counts["n"].to_numpy()) - np.log(classes[token[at] - COMMON])
+        ids, lengths = np.frombuffer(ids.as_buffer(), "<u4"), lengths.values.to_numpy()
+        of, total = Windows(token[ids], lengths), np.zeros(len(ids) + 1)
+        for a in range(0, len(ids), AT_ONCE):
+            context, target = of(slice(a, a + AT_ONCE))
+            h = p["hide_b"] + adds[0][context[:, 0]]
+            for k in range(1, 2 * SIDE):
+                h += adds[k][context[:, k]]
+            total[a + 1 : a + 1 + len(target)] = log_probabilities(p, np.tanh(h, out=h), target)
+        total[1:] += share[ids]
+        np.cumsum(total, out=total)
+        ends = np.cumsum(lengths)
+        sums = total[ends] - total[ends - lengths]
+        means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
+        return pa.Table.from_arrays([names.values, pa.array(lengths), pa.array(np.where(lengths > 0, sums, 0.0)), means], schema=out)
+
+    rare = table.select("chunk", F.posexplode("words").alias("place", "word")).join(F.broadcast(spark_words(spark, vocab)), "word", "left_anti")
+    # a word is once in a chunk, and common words are out, so no word has many rows
+    counts = rare.join(totals, "word").select(F.col("chunk").alias("of"), "place", "n")
+    docs = table.select("chunk", "words", "doc_ids", "lengths", "ids")
     return docs.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(score, struct)
 
 
-def score_corpus(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> DataFrame:
+def score_corpus(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Learn from all documents, then score all of them."""
     spark = df.sparkSession
-    totals = materialize(word_totals(df, text_col=text_col), "totals")
+    table = materialize(chunks(df, id_col=id_col, text_col=text_col), "words")
+    totals = materialize(word_totals(table), "totals")
     vocab = commonest(totals)
-    table = materialize(tokens(df, vocab, id_col=id_col, text_col=text_col), "words")
     weights = initial()
     for k in range(rounds):
-        weights = train_round(spark, table.filter("ids is not null"), weights, stride=stride, seed=SEED + 1000 * k)
-    return score_tokens(table, weights, totals, class_totals(totals, vocab))
+        weights = train_round(spark, table, vocab, weights, seed=SEED + 1000 * k)
+    return score_chunks(table, vocab, weights, totals, class_totals(totals, vocab))
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
