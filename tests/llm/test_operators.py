@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, with awkward rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -65,10 +66,8 @@ def test_encoder_equals_the_tokenizer(rows):
 
 def test_token_counts(docs, rows, none):
     encoder = Encoder.of(default_tokenizer())
-    usable = [r for r in rows if r[0] != 404]  # that one holds the separator
-    frame = docs.filter("doc_id is null or doc_id <> 404")
-    got = token_counts.count_tokens(frame, block_ids=997)
-    same(got.select("doc_id", "n_tokens"), [(r[0], len(encoder.encode([r[1] or ""])[0]) // 4) for r in usable])
+    got = token_counts.count_tokens(docs, block_ids=997)
+    same(got.select("doc_id", "n_tokens"), [(r[0], len(encoder.encode([r[1] or ""])[0]) // 4) for r in rows])
     spans = defaultdict(list)
     for r in got.collect():
         spans[r["file"]].append((r["ordinal"], r["start"], r["n_tokens"]))
@@ -77,8 +76,15 @@ def test_token_counts(docs, rows, none):
         assert [o for o, _, _ in x] == list(range(len(x)))
         assert all(a[1] + a[2] + 1 == b[1] for a, b in zip(x, x[1:]))
     assert token_counts.count_tokens(none).count() == 0
+
+
+def test_a_separator_that_texts_hold_is_refused(docs, tmp_path):
+    mark = 50256  # the vocabulary's own end-of-text token, which row 404 spells out
     with pytest.raises(Exception, match="separator"):
-        token_counts.count_tokens(docs).count()
+        token_counts.write_token_files(docs, f"file://{tmp_path}/own", eod=mark).count()
+    clean = token_counts.write_token_files(docs.filter("doc_id <> 404"), f"file://{tmp_path}/clean", eod=mark)
+    assert clean.count() == docs.filter("doc_id <> 404").count()
+    assert [token_counts.separator(n) for n in (2, 4)] == [65535, 4294967295]
 
 
 @pytest.mark.parametrize("block", [1, 3, 8, 1000])
@@ -172,8 +178,8 @@ def test_simhash(docs, rows, none):
     assert simhash.one_of_each(none).count() == 0
 
 
-@pytest.mark.parametrize("cell", [5, 20_000])
-def test_simhash_join_finds_every_link(spark, cell):
+@pytest.mark.parametrize(("cell", "segments"), [(5, 2), (4096, 2), (40, 4), (200, 8)])
+def test_simhash_join_finds_every_link(spark, cell, segments):
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(400)} | {0, 2**64 - 1, 1, 3, 7}
     for fp in list(fps)[:150]:  # chains of near ones
@@ -183,7 +189,25 @@ def test_simhash_join_finds_every_link(spark, cell):
             fps.add(fp)
     fps = sorted(fps)
     df = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(fps)], "doc_id long, fp long")
-    same(simhash.group(df, cell=cell).select("doc_id", "component_id"), list(enumerate(plain_components(fps, 4))))
+    same(simhash.group(df, cell=cell, segments=segments).select("doc_id", "component_id"), list(enumerate(plain_components(fps, 4))))
+
+
+def test_reach_has_one_of_every_pair_of_cells():
+    for segments, bits in ((2, 4), (4, 4), (3, 2)):
+        steps = set(simhash.reach(segments, bits))
+        ball = [s for s in itertools.product(range(-bits, bits + 1), repeat=segments) if 0 < sum(map(abs, s)) <= bits]
+        assert all((s in steps) != (tuple(-x for x in s) in steps) for s in ball) and len(steps) * 2 == len(ball)
+    assert [simhash.segments_for(n) for n in (10**5, 2 * 10**7, 10**10)] == [2, 4, 8]
+
+
+def test_one_of_each_keeps_a_row_of_every_group(spark):
+    long = "a long text of many words that another row repeats word for word in full"
+    rows = [(5, long, "x"), (3, long, "y"), (None, long, "z"), (None, None, "n"), (None, "", "e"), (9, "quite other words stand here", "o"), (9, "nothing in common with that", "p"), (9, "quite other words stand here", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, long), (None, got[[g[0] for g in got].index(None)][1]), (9, rows[5][1]), (9, rows[6][1])], key=str)
 
 
 def test_components_of_long_chains(spark):
@@ -321,19 +345,45 @@ def test_robust_estimate_withstands_large_groups_of_copies(spark):
 def test_gradients_of_the_recurrent_network():
     net = langid.Network(["a", "b", "c"], embed=3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, y = np.array([[1, 2, 3, 2], [4, 4, 1, 9]], np.uint8), np.array([2, 0])
-    _, g = net.gradients(x, y)
     rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 5, (9, 4)).astype(np.uint8), np.array([2, 0, 1, 1])
+    labelled = rng.random(x.shape) < 0.7
+    _, g = net.gradients(x, labelled, y)
     for name, v in net.p.items():
         for _ in range(4):
-            at = tuple(rng.integers(s) for s in v.shape) if name != "embed" else (int(rng.choice([1, 2, 3, 4, 9])), int(rng.integers(3)))
-            old, eps = v[at], 1e-4
+            at = tuple(rng.integers(s) for s in v.shape) if name != "embed" else (int(rng.integers(5)), int(rng.integers(3)))
+            old, eps = v[at], 1e-5
             v[at] = old + eps
-            up = net.gradients(x, y)[0]
+            up = net.gradients(x, labelled, y)[0]
             v[at] = old - eps
-            down = net.gradients(x, y)[0]
+            down = net.gradients(x, labelled, y)[0]
             v[at] = old
-            assert math.isclose((up - down) / (2 * eps), g[name][at], rel_tol=2e-2, abs_tol=2e-4), name
+            assert math.isclose((up - down) / (2 * eps), g[name][at], rel_tol=1e-4, abs_tol=1e-8), name
+
+
+def test_windows_label_every_byte_once():
+    texts = [b"abc", b"", bytes(range(97, 120)) * 3, b"x" * 10, b"y" * 11]
+    data, labelled, of = langid.windows(texts, window=14, context=2)
+    for i, t in enumerate(texts):
+        mine = of == i
+        assert data[:, mine].T[labelled[:, mine].T].tobytes() == t
+        # what stands before and after a window's labelled part is the text there
+        padded = b"  " + t + b" " * 20
+        for k, w in enumerate(data[:, mine].T):
+            assert w.tobytes() == padded[k * 10 : k * 10 + 14].ljust(14)
+
+
+def test_pooled_probabilities_do_not_depend_on_the_batch():
+    net = langid.Network(["a", "b"], embed=3, hidden=4)
+    texts = ["one two three " * 60, None, "", "12 ½ ²", "Ünder", "q" * 1000]
+    every = langid.pooled(net, texts)
+    assert [x[0] for x in every[1:4]] == ["und"] * 3
+    for t, want in zip(texts, every, strict=True):
+        (got,) = langid.pooled(net, [t])
+        assert got[0] == want[0] and math.isclose(got[1], want[1], abs_tol=1e-5)
+        if want[0] != "und":
+            read, prob = langid.label_positions(net, t)
+            assert len(read) == len(prob) and math.isclose(prob.mean(axis=0).max(), want[1], abs_tol=1e-5)
 
 
 def test_language_id(spark, none):
@@ -341,7 +391,7 @@ def test_language_id(spark, none):
     parts = {"en": ["th", "ing", "er", "on", "ea"], "de": ["sch", "ung", "ei", "ü", "tz"], "es": ["ción", "ado", "ñ", "os", "ez"]}
     word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4)))
     made = [(i, " ".join(word(lang) for _ in range(rng.randint(8, 60))).capitalize() + ".", lang, "s", 0, "x", 1) for i, lang in enumerate(rng.choice(list(parts)) for _ in range(400))]
-    odd = [(900, None, None, None, None, None, None), (901, "", "en", "s", 0, "", 0), (902, "12 -- 34_!", "en", "s", 0, "", 0), (903, "ung" * 5000, None, "s", 0, "", 0), (904, "„“ — 。", "en", "s", 0, "", 0)]
+    odd = [(900, None, None, None, None, None, None), (901, "", "en", "s", 0, "", 0), (902, "12 -- 34_!", "en", "s", 0, "", 0), (903, "ung" * 5000, None, "s", 0, "", 0), (904, "„“ — 。 ² ½ Ⅷ", "en", "s", 0, "", 0)]
     df = spark.createDataFrame(made + odd + made[:3], DOCS)
     net = langid.learn(langid.learnable(df).filter("doc_id < 300"))
     got = langid.identify(df, net).collect()
@@ -353,7 +403,6 @@ def test_language_id(spark, none):
     kept = langid.keep_identified(df, net)
     assert kept.columns == df.columns and kept.filter("doc_id in (900, 901, 902)").count() == 0 and kept.filter("doc_id < 400").count() >= 395
     assert langid.learn(none) is None and langid.identify(df, None).filter("lang_pred = 'und'").count() == df.count()
-    assert langid.label_positions(net, b"schung").shape == (6, 3)
     assert langid.identify(none, net).count() == 0
 
 
@@ -362,12 +411,43 @@ def test_block_max_search_is_exact():
     make = lambda: {int(t): float(w) for t, w in zip(rng.choice(40, rng.integers(1, 8), replace=False), rng.random(8), strict=False)}
     unit = lambda v: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()}
     examples = [unit(make()) for _ in range(500)] + [unit({1: 1.0})] * 30
-    index = toxicity.BlockMaxIndex(examples, 40, block=16)
+    flat = [(i, t, w) for i, e in enumerate(examples) for t, w in e.items()]
+    index = toxicity.BlockMaxIndex(*map(np.array, zip(*flat, strict=True)), len(examples), 40, block=16)
     for q in [unit(make()) for _ in range(60)] + [unit({1: 1.0}), {}]:
-        every = sorted((-round(sum(w * e.get(t, 0) for t, w in q.items()), 10), i) for i, e in enumerate(examples))
-        want = [(s, i) for s, i in every if s < 0][:15]
-        got = index.nearest(q, 15)
-        assert [round(-c, 10) for c, _ in got] == [s for s, _ in want]
+        for but in (-1, 3, 510):
+            every = sorted((-round(sum(w * e.get(t, 0) for t, w in q.items()), 6), i) for i, e in enumerate(examples) if i != but)
+            want = [s for s, _ in every if s < 0][:15]
+            cosines, near = index.nearest(np.array(list(q), np.int64), np.array(list(q.values())), 15, but)
+            assert np.allclose(-cosines, want, atol=2e-6) and but not in near
+            assert all(abs(sum(w * examples[i].get(t, 0) for t, w in q.items()) - c) < 2e-6 for c, i in zip(cosines, near, strict=True))
+            ties = [(c, i) for c, i in zip(np.round(-cosines, 6), near, strict=True)]
+            assert len(set(near.tolist())) == len(near) and (len(q) != 1 or ties == sorted(ties))
+
+
+def test_neighbours_are_those_of_plain_tf_idf(spark):
+    rng = random.Random(12)
+    texts = [text_of(rng, rng.randint(3, 40)) for _ in range(90)] + [None, "", "unseen ¤"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("which" in (texts[i] or ""))) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.learn(df.join(labels, "doc_id"), df, neighbours=5)
+    counts = [Counter(re.findall(r"[a-z\u0080-\U0010ffff]+", (t or "").lower())) for t in texts]
+    place = {w.decode(): i for i, w in enumerate(model.terms.to_pylist())}
+    assert set(place) == {w for c in counts[:60] for w in c}
+    mark = toxicity.marking(*(np.array([sum(1 for i in range(60) if w in counts[i] and (not only or "which" in texts[i])) for w in place], float) for only in (False, True)), np.mean([int("which" in texts[i]) for i in range(60)]))
+    weight = {w: (math.log((1 + len(texts)) / (1 + sum(w in c for c in counts))) + 1) * (toxicity.FLOOR + (1 - toxicity.FLOOR) * mark[i]) for w, i in place.items()}
+
+    def vector(c):
+        x = {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {w: v / norm for w, v in x.items()}
+
+    vectors = [vector(c) for c in counts]
+    for r in toxicity.score_documents(df, model).collect():
+        q = vectors[r["doc_id"]]
+        want = sorted((sum(v * vectors[i].get(w, 0) for w, v in q.items()) for i in range(60)), reverse=True)[:5]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], [x for x in want if x > 0], atol=1e-5)
+        assert all(abs(sum(v * vectors[e["example"]].get(w, 0) for w, v in q.items()) - e["cosine"]) < 1e-5 for e in r["evidence"])
+        assert (r["evidence"] == []) == (not q)
 
 
 def test_toxicity(spark, none):
@@ -381,9 +461,9 @@ def test_toxicity(spark, none):
         return (i, " ".join(ws), "en", "s", 0, "x", 1), (i, int(bad))
 
     both = [made(i, i % 8 == 0) for i in range(600)]
-    df = spark.createDataFrame([d for d, _ in both] + [(900, None, None, None, None, None, None), (901, "", "en", "s", 0, "", 0), (902, text_of(rng, 9000) + " grobbles snarkish grobble", "en", "s", 0, "", 0)], DOCS)
+    df = spark.createDataFrame([d for d, _ in both] + [(900, None, None, None, None, None, None), (901, "", "en", "s", 0, "", 0), (902, text_of(rng, 9000) + " grobble snarkish grobble", "en", "s", 0, "", 0)], DOCS)
     labels = spark.createDataFrame([x for _, x in both] + [(900, 1), (901, 0), (None, 1)], "doc_id long, toxic int")
-    model = toxicity.learn(df.join(labels, "doc_id").filter("doc_id < 400 or doc_id > 899"))
+    model = toxicity.learn(df.join(labels, "doc_id").filter("doc_id < 400 or doc_id > 899"), df)
     got = {r["doc_id"]: r for r in toxicity.score_documents(df, model).collect()}
     assert len(got) == 603 and all(0 <= r["score"] <= 1 for r in got.values())
     assert all(got[d[0]]["predicted"] == y[1] for d, y in both[400:])
@@ -391,16 +471,16 @@ def test_toxicity(spark, none):
     assert got[402]["evidence"] == [] or all(e["cosine"] <= 1 + 1e-9 for e in got[402]["evidence"])
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
-    empty = toxicity.learn(none.withColumn("toxic", F.lit(1)))
+    empty = toxicity.learn(none.withColumn("toxic", F.lit(1)), none)
     assert toxicity.score_documents(df, empty).agg(F.max("score")).first()[0] == 0.0
     assert toxicity.score_documents(none, model).count() == 0
 
 
 def test_language_model(spark, docs, rows, none):
-    vocab = lm.vocabulary(docs)
+    vocab = lm.commonest(lm.word_totals(lm.chunks(docs)))
     want = Counter(w for r in rows for w in lm.words(r[1]))
     assert list(vocab) == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))][: lm.COMMON]
-    got = {r["doc_id"]: r for r in lm.score_corpus(docs, stride=1).collect()}
+    got = {r["doc_id"]: r for r in lm.score_corpus(docs).collect()}
     assert {d: r["n_tokens"] for d, r in got.items()} == {r[0]: len(lm.words(r[1])) for r in rows}
     assert got[400]["log_likelihood"] == 0.0 and got[401]["mean_log_likelihood"] is None
     n = sum(want.values())
@@ -421,15 +501,49 @@ def test_language_model_tells_rare_words_apart(spark):
     assert len(got) == len(texts)
     # same window and hash class: the scores differ by the words' shares of the class
     assert math.isclose(got[12] - got[21], math.log(9 / 3), rel_tol=1e-6)
-    vocab = lm.vocabulary(df)
-    assert lm.class_totals(lm.word_totals(df), vocab)[klass] == 12
-
-
-def test_language_model_trains_on_every_position(spark, docs):
-    table = lm.tokens(docs, lm.vocabulary(docs)).filter("ids is not null").coalesce(1).cache()
-    start = lm.initial()
-    assert np.allclose(lm.train_round(spark, table, start), lm.train_round(spark, table, start, stride=1), atol=1e-4)
-    assert not np.allclose(lm.train_round(spark, table, start, stride=16), lm.train_round(spark, table, start), atol=1e-4)
+    totals = lm.word_totals(lm.chunks(df))
+    assert lm.class_totals(totals, lm.commonest(totals))[klass] == 12
+
+
+def test_chunks_hold_every_word(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 2000)
+    seen = []
+    for r in lm.chunks(docs).collect():
+        ids, at = np.frombuffer(bytes(r["ids"]), "<u4"), 0
+        assert np.bincount(ids, minlength=len(r["words"])).tolist() == r["counts"]
+        for name, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            seen.append((name, [bytes(r["words"][i]) for i in ids[at : at + n]]))
+            at += n
+    assert sorted(seen, key=str) == sorted(((r[0], lm.words(r[1])) for r in rows), key=str)
+
+
+def test_windows_have_every_position():
+    tokens, lengths = np.arange(10, 17, dtype=np.uint16), np.array([3, 0, 1, 3])
+    context, target = lm.Windows(tokens, lengths)(slice(None))
+    e = lm.EDGE
+    assert target.tolist() == list(range(10, 17))
+    assert context.tolist() == [[e, e, 11, 12], [e, 10, 12, e], [10, 11, e, e], [e, e, e, e], [e, e, 15, 16], [e, 14, 16, e], [14, 15, e, e]]
+
+
+def test_training_averages_all_tasks_and_learns(spark, docs):
+    table = lm.chunks(docs).cache()
+    vocab, start = lm.commonest(lm.word_totals(table)), lm.initial()
+    alone = []
+    for r in table.collect():
+        one = spark.createDataFrame([r], table.schema)
+        alone.append((sum(r["lengths"]), lm.train_round(spark, one, vocab, start)))
+    want = sum(n * w.astype(np.float64) for n, w in alone) / sum(n for n, _ in alone)
+    assert len(alone) > 1 and np.allclose(lm.train_round(spark, table, vocab, start), want, atol=1e-5)
+
+    def loss(weights):
+        p, total, n = lm.views(weights), 0.0, 0
+        for r in table.collect():
+            of = lm.Windows(lm.token_of(vocab, [bytes(w) for w in r["words"]])[np.frombuffer(bytes(r["ids"]), "<u4")], np.array(r["lengths"]))
+            context, target = of(slice(None))
+            total, n = total - lm.log_probabilities(p, lm.hidden(p, context), target).sum(), n + len(target)
+        return total / n
+
+    assert loss(lm.train_round(spark, table, vocab, start)) < loss(start) - 0.5
 
 
 def test_language_model_probabilities_and_gradients():
@@ -452,8 +566,6 @@ def test_language_model_probabilities_and_gradients():
 
 
 def test_viterbi_finds_the_best_path():
-    import itertools
-
     hmm = chat.Hmm([])
     features = [f for _, f in chat.observe("User: hi\nmore\n\nAI: yes\n\nno marker here?\nx")]
     logs = sum(hmm.emit[k][:, [f[k] for f in features]] for k in chat.SIZES).T
