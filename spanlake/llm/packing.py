@@ -5,7 +5,9 @@ pieces with the shorter piece first; full pieces fill sequences alone, so only t
 ones are packed. They are dealt into regions of a bounded size; in each region several
 islands evolve packings of the same pieces: crossover injects a parent's fullest bins whole,
 removes what they duplicate, and best-fits the displaced pieces. Between epochs each island
-gets its neighbour's elite. A region's best packing becomes its sequences.
+gets its neighbour's elite. A region's best packing becomes its sequences, but for the pieces of
+its emptiest bins: those of FAN regions meet in a region of their own and evolve again, from the
+bins that they come in, and so on in a tree, so that part-filled bins do not add up with regions.
 
 Defined results: a null text is empty, so one end id; equal rows are separate documents, also
 with equal or null ids; an empty table gives no rows; ties between packings go to the lower
@@ -14,6 +16,7 @@ island. Every piece is in exactly one sequence, offsets have no gaps.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +30,12 @@ from .bpe import Encoder, default_tokenizer
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a region: bounds what one task holds.
-REGION = 4096
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 10, 2
+REGION = 16_384
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 6, 30, 2
+#: Regions whose emptiest bins meet, and how many bins each of them sends.
+FAN, EMPTIEST = 4, 1024
+#: A sequence's id is its region, then its level in the tree (WHOLE: full pieces), then its number.
+REGION_BITS, LEVEL_BITS, WHOLE = 40, 36, 15
 
 
 def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
@@ -62,8 +69,38 @@ def fitness(room: list[int], capacity: int) -> tuple[int, float]:
     return -len(room), sum(((capacity - r) / capacity) ** 2 for r in room)
 
 
+def fill(sizes: list[int], items: list[int], capacity: int, skip: int = 0) -> tuple[list[list[int]], list[int]]:
+    """Bins filled one after the other: the largest piece left, and of the others, from the ``skip``-th that fits on, those that best fit the rest together."""
+    left = sorted(items, key=lambda i: (sizes[i], -i))
+    rising = [sizes[i] for i in left]
+    bins, room = [], []
+    while left:
+        target = capacity - rising[-1]
+        # sums[k]: a bit for each sum of some of the k largest pieces that fit
+        sums, fits = [1], (2 << target) - 1
+        top = min(len(left) - 1, bisect.bisect_right(rising, target))
+        top = max(top - skip, min(top, skip))
+        for k in range(top - 1, -1, -1):
+            m = sums[-1]
+            m |= m << rising[k] & fits
+            sums.append(m)
+            if m >> target:
+                break
+        total = sums[-1].bit_length() - 1
+        room.append(target - total)
+        taken = [len(left) - 1]
+        for k in range(len(sums) - 1, 0, -1):
+            if not sums[k - 1] >> total & 1:
+                taken.append(top - k)
+                total -= rising[top - k]
+        bins.append([left[k] for k in taken])
+        for k in sorted(taken, reverse=True):
+            del left[k], rising[k]
+    return bins, room
+
+
 def cross(sizes: list[int], a: tuple, b: tuple, capacity: int, rng: np.random.Generator) -> tuple:
-    """Inject a run of b's fullest bins into a; best-fit what is displaced, largest first."""
+    """Inject a run of b's fullest bins into a; best-fit what is displaced, into the bins there are or bin by bin."""
     order = sorted(range(len(b[0])), key=lambda k: (b[1][k], k))
     half = max(1, len(order) // 2)
     start, width = int(rng.integers(half)), 1 + int(rng.integers(half))
@@ -76,35 +113,44 @@ def cross(sizes: list[int], a: tuple, b: tuple, capacity: int, rng: np.random.Ge
             room.append(r)
         else:
             displaced += [i for i in items if i not in inside]
-    # a few of the emptiest bins are opened too, so that their pieces may find better places
-    worst = sorted(range(len(bins)), key=lambda k: (-room[k], k))[: 1 + len(bins) // 50]
-    for k in sorted(worst, reverse=True):
+    # some bins are opened too, the emptier ones rather, so that their pieces may find better places
+    keys = rng.random(len(room)) * (np.array(room) + rng.choice([1, 8, 64]))
+    worst = np.argsort(-keys, kind="stable")[: int(2 ** rng.uniform(1, 9))]
+    for k in sorted(worst.tolist(), reverse=True):
         displaced += bins.pop(k)
         room.pop(k)
-    displaced.sort(key=lambda i: (-sizes[i], i))
-    best_fit(sizes, displaced, bins, room, capacity)
-    return bins, room
+    if rng.random() < 0.5:
+        displaced.sort(key=lambda i: (-sizes[i], i))
+        best_fit(sizes, displaced, bins, room, capacity)
+        return bins, room
+    more = fill(sizes, displaced, capacity, int(rng.integers(8)))
+    return bins + more[0], room + more[1]
 
 
-def evolve(sizes: list[int], elites: list[tuple], seed: int, capacity: int, population: int = POPULATION, generations: int = GENERATIONS) -> tuple:
-    """One island's epoch: from the elites and best-fit starts to its best packing."""
+def evolve(sizes: list[int], elites: list[tuple], seed: int, capacity: int, population: int = POPULATION, generations: int = GENERATIONS, thorough: bool = True) -> tuple:
+    """One island's epoch: from the elites and best-fit starts (``thorough``: one of them bin by bin) to its best packing."""
     rng = np.random.default_rng(seed)
     pool = [(list(map(list, e[0])), list(e[1])) for e in elites]
     falling = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     least = -(-sum(sizes) // capacity)
-    while len(pool) < population:
-        order = falling if not pool else [i for _, i in sorted((-(s + float(rng.normal(0, 0.05)) * capacity), i) for i, s in enumerate(sizes))]
+    if thorough:
+        pool += [fill(sizes, falling, capacity, skip) for skip in (0, 1, 3)]
+    order = falling
+    while len(pool) < max(population, len(elites) + 2 + 3 * thorough):
         bins, room = [], []
         best_fit(sizes, order, bins, room, capacity)
         pool.append((bins, room))
+        order = [i for _, i in sorted((-(s + float(rng.normal(0, 0.05)) * capacity), i) for i, s in enumerate(sizes))]
     for _ in range(generations):
         pool.sort(key=lambda x: fitness(x[1], capacity), reverse=True)
         if len(pool[0][0]) <= least:
             break
-        a, b = (int(x) for x in rng.choice(min(3, len(pool)), 2, replace=len(pool) < 2))
+        a, b = (int(x) for x in rng.integers(min(3, len(pool)), size=2))
         child = cross(sizes, pool[a], pool[b], capacity, rng)
-        if fitness(child[1], capacity) >= fitness(pool[-1][1], capacity):
-            pool[-1] = child
+        # a packing crossed with itself only has some bins repacked: the child takes its place
+        worse = a if a == b else len(pool) - 1
+        if fitness(child[1], capacity) >= fitness(pool[worse][1], capacity):
+            pool[worse] = child
     return max(pool, key=lambda x: fitness(x[1], capacity))
 
 
@@ -146,11 +192,12 @@ def _island_epoch(epoch: int, capacity: int, out: pa.Schema):
         for name in ("bin", "elite"):
             where = [x for x, s in zip(table[name].to_pylist(), sizes, strict=True) if s and x is not None]
             if where:
-                bins: list[list[int]] = [[] for _ in range(max(where) + 1)]
+                held: dict[int, list[int]] = {}
                 for i, b in enumerate(where):
-                    bins[b].append(i)
+                    held.setdefault(b, []).append(i)
+                bins = list(held.values())
                 elites.append((bins, [capacity - sum(small[i] for i in x) for x in bins]))
-        best = evolve(small, elites, seed=hash((region_id, island, epoch)) & 0x7FFFFFFF, capacity=capacity)
+        best = evolve(small, elites, seed=hash((region_id, island, epoch)) & 0x7FFFFFFF, capacity=capacity, thorough=epoch == island == 0)
         bin_of = [0] * len(sizes)
         for b, x in enumerate(best[0]):
             for i in x:
@@ -161,36 +208,62 @@ def _island_epoch(epoch: int, capacity: int, out: pa.Schema):
     return run
 
 
-def pack(items: DataFrame, *, capacity: int = CAPACITY, region: int = REGION, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """items (uid, n_ids) to uid, sequence_id and offset of the first piece, and the sequence of its first full piece."""
-    n = items.count()
-    regions = max(1, -(-n // region))
-    first = (F.col("n_ids") - 1) % capacity + 1
-    pieces = items.select("uid", F.when(first == capacity, 0).otherwise(first).cast("int").alias("size"), F.expr(f"n_ids div {capacity}").cast("long").alias("full"), F.pmod(F.xxhash64("uid"), F.lit(regions)).alias("region"))
-    # bin: each piece's bin on its island; null before the first epoch. elite: the neighbour's.
-    state = pieces.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)]))).withColumn("bin", F.lit(None).cast("int")).withColumn("elite", F.lit(None).cast("int"))
-    schema = "region long, island int, uid long, size int, full long, bin int, n_bins int"
-    struct, out = arrow_schema(schema)
-    for epoch in range(epochs):
-        done = materialize(state.groupBy("region", "island").applyInArrow(_island_epoch(epoch, capacity, out), struct), "islands")
-        if epoch + 1 < epochs:
-            shifted = done.select("region", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "uid", F.col("bin").alias("elite"))
-            state = done.drop("n_bins").join(shifted, ["region", "island", "uid"])
-    best = done.groupBy("region").agg(F.min(F.struct("n_bins", "island")).alias("best"))
-    chosen = done.join(F.broadcast(best) if regions <= 100_000 else best, "region").filter(F.col("island") == F.col("best.island"))
-    placed, place_out = arrow_schema("uid long, sequence_id long, offset long, full_from long")
-
-    def place(batches: pa.Table) -> pa.Table:
-        t = batches.sort_by([("bin", "ascending"), ("uid", "ascending")])
-        base = t["region"][0].as_py() << 40
+def _settle(level: int, last: bool, capacity: int, out: pa.Schema):
+    """Places of a region's pieces by its best packing; unless it is the last level, those of its emptiest bins go up."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("bin", "ascending"), ("uid", "ascending")])
+        region = t["region"][0].as_py()
         size, bins, full = (t[c].to_numpy() for c in ("size", "bin", "full"))
         before = np.cumsum(size) - size
-        first = np.searchsorted(bins, bins)
-        offset = before - before[first]
-        after = base + t["n_bins"][0].as_py() + np.cumsum(full) - full
-        return pa.Table.from_arrays([t["uid"].combine_chunks(), pa.array(base + bins.astype(np.int64)), pa.array(offset.astype(np.int64)), pa.array(after.astype(np.int64))], schema=place_out)
+        offset = before - before[np.searchsorted(bins, bins)]
+        room = capacity - np.bincount(bins, size)
+        emptiest = np.zeros(len(room), bool)
+        if not last:
+            emptiest[np.lexsort((np.arange(len(room)), -room))[:EMPTIEST]] = True
+        base = region << REGION_BITS
+        made = {
+            "region": pa.array([region // FAN] * len(t)),
+            "up": pa.array(emptiest[bins] & (size > 0)),
+            "bin": pa.array((region % FAN * 2**16 + bins).astype(np.int32)),
+            "sequence_id": pa.array(base + (level << LEVEL_BITS) + bins.astype(np.int64)),
+            "offset": pa.array(offset.astype(np.int64)),
+            "full_from": pa.array(base + (WHOLE << LEVEL_BITS) + np.cumsum(full) - full),
+        }
+        return pa.Table.from_arrays([made[f.name] if f.name in made else t[f.name].combine_chunks() for f in out], schema=out)
+
+    return run
+
 
-    return chosen.select("region", "uid", "size", "full", "bin", "n_bins").groupBy("region").applyInArrow(place, placed)
+def pack(items: DataFrame, *, capacity: int = CAPACITY, region: int = REGION, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """items (uid, n_ids) to uid, sequence_id and offset of the first piece, and the sequence of its first full piece."""
+    regions = max(1, -(-items.count() // region))
+    first = (F.col("n_ids") - 1) % capacity + 1
+    # bin: the piece's bin so far, null before the first epoch. elite: that of the neighbouring island.
+    pieces = items.select(F.pmod(F.xxhash64("uid"), F.lit(regions)).alias("region"), "uid", F.when(first == capacity, 0).otherwise(first).cast("int").alias("size"), F.expr(f"n_ids div {capacity}").cast("long").alias("full"), F.lit(None).cast("int").alias("bin"))
+    struct, out = arrow_schema("region long, island int, uid long, size int, full long, bin int, n_bins int")
+    settled, settled_out = arrow_schema("region long, uid long, size int, full long, up boolean, bin int, sequence_id long, offset long, full_from long")
+    placed, level = None, 0
+    while True:
+        state = pieces.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)]))).withColumn("elite", F.lit(None).cast("int"))
+        for epoch in range(epochs):
+            done = materialize(state.groupBy("region", "island").applyInArrow(_island_epoch(epoch, capacity, out), struct), "islands")
+            if epoch + 1 < epochs:
+                shifted = done.select("region", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "uid", F.col("bin").alias("elite"))
+                state = done.drop("n_bins").join(shifted, ["region", "island", "uid"])
+        best = done.groupBy("region").agg(F.min(F.struct("n_bins", "island")).alias("best"))
+        chosen = done.join(F.broadcast(best) if regions <= 100_000 else best, "region").filter(F.col("island") == F.col("best.island"))
+        here = materialize(chosen.select("region", "uid", "size", "full", "bin").groupBy("region").applyInArrow(_settle(level, regions == 1, capacity, settled_out), settled), "settled")
+        # A piece that goes up keeps the place of its full pieces.
+        placed = here if level == 0 else placed.unionByName(here)
+        if regions == 1:
+            break
+        pieces = here.filter("up").select("region", "uid", "size", F.lit(0).cast("long").alias("full"), "bin")
+        regions, level = -(-regions // FAN), level + 1
+    if level == 0:
+        return placed.select("uid", "sequence_id", "offset", "full_from")
+    # one row of a piece is settled, one (of level 0) knows its full pieces
+    return placed.groupBy("uid").agg(F.max(F.when(~F.col("up"), F.col("sequence_id"))).alias("sequence_id"), F.max(F.when(~F.col("up"), F.col("offset"))).alias("offset"), F.max("full_from").alias("full_from"))
 
 
 def pack_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, region: int = REGION, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
