@@ -8,8 +8,8 @@ is compared word by word. Nearly all positions are never looked at.
 Defined results: null, empty and word-less texts have no words and no hits; items without words
 have no windows; items of one id count once, windows of items with a null id hit but are not
 listed; an empty benchmark hits nothing; equal documents are each reported. Pattern tables are
-collected in blocks of at most BLOCK_CHARS characters, and the documents are searched once
-for each block, so the benchmark's size is not bounded by one machine's memory.
+collected in blocks of about BLOCK_CHARS characters, one at a time, and the documents are searched
+once for each block, so the benchmark's size is not bounded by one machine's memory.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ._base import broadcast_value, filter_rows, map_batches, materialize, read
 
 WINDOW = 10
-#: Characters of test items whose patterns one broadcast holds.
-BLOCK_CHARS = 16_000_000
+#: Characters of test items whose patterns one broadcast holds: about 100 bytes of tables each.
+BLOCK_CHARS = 2_000_000
 _WORDS = bytes(
     ord(chr(b).lower()) if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256)
 )
@@ -105,21 +105,25 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 
 def finders(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS):
-    """A broadcast Finder for each block of test items; blocks bound what the driver and a task hold."""
+    """A broadcast Finder for each block of test items in turn; the one before it is given up, so its results must be written by then."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
-    spark = benchmark.sparkSession
+    if blocks > 1:
+        items = materialize(items, "items")
+    spark, shared = benchmark.sparkSession, None
     for k in range(blocks):
+        if shared is not None:
+            shared.destroy()
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        yield broadcast_value(spark, Finder([tuple(r) for r in part], window))
+        shared = broadcast_value(spark, Finder([tuple(r) for r in part], window))
+        yield shared, blocks
 
 
 def find_overlap(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, spans (hit words, as [start, end)), items (ids as text, sorted) per document."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tables = list(finders(benchmark, item_col=item_col, text_col=item_text_col, window=window, block_chars=block_chars))
     schema = f"doc_id {kind}, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
 
     def search(table, docs, schema):
@@ -138,13 +142,16 @@ def find_overlap(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
         return map_batches(docs, make, schema, "text")
 
-    if len(tables) <= 1:
-        return search(tables[0] if tables else None, docs, schema)
-    docs = materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "documents")
     found = None
-    for table in tables:
-        part = search(table, docs, schema + ", uid long")
+    for table, blocks in finders(benchmark, item_col=item_col, text_col=item_text_col, window=window, block_chars=block_chars):
+        if blocks == 1:
+            return search(table, docs, schema)
+        if found is None:
+            docs = materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "documents")
+        part = materialize(search(table, docs, schema + ", uid long"), "hits")
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return search(None, docs, schema)
     both = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def make():
@@ -163,14 +170,16 @@ def contamination(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def uncontaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def uncontaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of ``df`` in which no window of the benchmark occurs."""
-    for table in finders(benchmark, window=window):
+    for table, blocks in finders(benchmark, window=window, block_chars=block_chars):
 
         def make(table=table):
             return lambda texts: [not any(next(s.find(ws), None) for s, _ in table.value.searches) for ws in map(words, texts)]
 
         df = filter_rows(df, text_col, make)
+        if blocks > 1:
+            df = materialize(df, "clean")
     return df
 
 

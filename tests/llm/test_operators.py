@@ -247,7 +247,7 @@ def test_decontamination(spark, rows, docs, none, block_chars):
     frame = spark.createDataFrame(planted, DOCS)
     want = list(plain_overlap(planted, items))
     same(decontam.contamination(frame, bench, block_chars=block_chars), want)
-    assert sorted(str(r["doc_id"]) for r in decontam.uncontaminated(frame, bench).collect()) == sorted(str(w[0]) for w in want if not w[5])
+    assert sorted(str(r["doc_id"]) for r in decontam.uncontaminated(frame, bench, block_chars=block_chars).collect()) == sorted(str(w[0]) for w in want if not w[5])
     assert decontam.contamination(none, bench).count() == 0
     same(decontam.contamination(docs, bench.limit(0)).select("doc_id", "n_hit"), [(r[0], 0) for r in rows])
 
@@ -571,10 +571,34 @@ def test_viterbi_finds_the_best_path():
     logs = sum(hmm.emit[k][:, [f[k] for f in features]] for k in chat.SIZES).T
 
     def value(path):
-        return hmm.start[path[0]] + logs[0, path[0]] + sum(hmm.move[a, b] + logs[i + 1, b] for i, (a, b) in enumerate(zip(path, path[1:])))
+        return hmm.move[-1, path[0]] + logs[0, path[0]] + sum(hmm.move[a, b] + logs[i + 1, b] for i, (a, b) in enumerate(zip(path, path[1:])))
 
     best = max(value(p) for p in itertools.product(range(len(chat.STATES)), repeat=len(features)))
-    assert math.isclose(value(hmm.viterbi(features)), best)
+    assert value(hmm.viterbi(features)) == best
+
+
+def test_long_conversations_are_decoded_as_one(spark):
+    rng = random.Random(11)
+    rows = []
+    for c in range(12):
+        for t in range(rng.choice([1, 3, 40, 90])):
+            text = rng.choice(["", None, " ", "yes?", text_of(rng, rng.randint(1, 40)).replace(",", "\n"), "User: quoted", "a\n\nAI: b"])
+            rows.append((c, rng.choice([t, t, None]) if c == 3 else t, rng.choice(["user", "assistant", "system", "tool", None]), text))
+    rows += [(20, t, "user", " ") for t in range(30)] + [(21, 0, "user", " " * t) for t in range(20)] + rows[:5]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    hmm = chat.learn(chat.conversations_as_rows(df))
+    parts = chat.conversations_as_rows(df, turns_each=4)
+    written = chat.as_transcripts(parts).orderBy("conv_id", "part").collect()
+    assert len(written) > 40 and not all(r["whole"] for r in written)
+    texts = defaultdict(list)
+    for r in written:
+        texts[r["conv_id"]].append(r["transcript"])
+    want = [(c, i, role, x) for c, ts in texts.items() for i, (role, x) in enumerate(chat.turns(hmm, "\n\n".join(ts)))]
+    for some in (parts, parts.withColumn("whole", F.lit(False))):
+        same(chat.parse_conversations(some, hmm).select("conv_id", "turn", "role", "text"), want)
+    # turns are in order whatever the parts, and every row is there once
+    held = [[(t["turn"], t["role"], t["text"]) for t in r["turns"]] for r in parts.orderBy("conv_id", "part").collect()]
+    assert Counter(x for h in held for x in h) == Counter((t, r, x) for _, t, r, x in {tuple(r) for r in rows})
 
 
 def test_chat_roles(spark):
@@ -586,7 +610,7 @@ def test_chat_roles(spark):
     odd = [(500, 0, "user", None, ""), (500, 1, None, "who?", ""), (None, 0, "user", "lone", ""), (None, 0, "user", "other", ""), (501, None, "user", "no turn", ""), rows[0], rows[0]]
     df = spark.createDataFrame(rows + odd, "conv_id long, turn long, role string, text string, rendered string")
     grouped = chat.conversations_as_rows(df)
-    got = chat.parse_transcripts(chat.as_transcripts(grouped), chat.learn(grouped))
+    got = chat.parse_conversations(grouped, chat.learn(grouped)).cache()
     found = {(r["conv_id"], r["turn"]): r for r in got.filter("conv_id < 500").collect()}
     right = sum((r[0], r[1]) in found and found[r[0], r[1]]["role"] == r[2] for r in rows)
     assert right >= 0.97 * len(rows)
