@@ -19,6 +19,7 @@ never fall under a floor, so groups of equal documents are kept; equal rows get
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 #: Steps from every start, and at most so many more from the best one.
 STEPS, FURTHER, HALF, MIN_GROUP = 3, 10, 0.5, 30
+#: Growth of the covariance of the rows within the cut.
+REWEIGHTED = 1.05
 #: A fall of the determinant's logarithm that counts.
 FALL = 0.01
 #: chi-square quantile (5 degrees of freedom, p = 1 - 1e-6) beyond which a document is an outlier.
@@ -140,8 +143,8 @@ def consistency(half: float) -> float:
     return half / (below5(low) - tail(low) * low**2 / 15)
 
 
-def estimate(row, p: int, grow: float = 1.0) -> tuple[list[float], list[float], float]:
-    """Mean, inverse covariance (flat) and the covariance's log determinant from a row of moments, with floored variances."""
+def covariance(row: dict, p: int) -> tuple[list[float], np.ndarray]:
+    """Mean and covariance from a row of moments."""
     from fractions import Fraction
 
     n = int(row["n"])
@@ -149,79 +152,105 @@ def estimate(row, p: int, grow: float = 1.0) -> tuple[list[float], list[float],
     cov = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
-            cov[i, j] = cov[j, i] = float(Fraction(int(row[f"q{i}_{j}"]), n) - mean[i] * mean[j]) * grow
-    cov += np.diag([(f * UNIT) ** 2 for f in FLOOR[:p]])
-    return [float(m) for m in mean], np.linalg.inv(cov).flatten().tolist(), float(np.linalg.slogdet(cov)[1])
+            cov[i, j] = cov[j, i] = float(Fraction(int(row[f"q{i}_{j}"]), n) - mean[i] * mean[j])
+    return [float(m) for m in mean], cov
 
 
-def robust_estimates(stats: DataFrame, group: list[str], xs: list[str], *, steps: int = STEPS, half: float = HALF, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
-    """A row for each group with at least ``min_group`` rows: mean and inverse covariance of its MCD estimate.
+def solved(mean: list[float], cov: np.ndarray) -> dict:
+    """Mean, inverse covariance (flat) and the covariance's log determinant, with floored variances."""
+    cov = cov + np.diag([(f * UNIT) ** 2 for f in FLOOR[: len(mean)]])
+    return {"mean": mean, "inverse": np.linalg.inv(cov).flatten().tolist(), "logdet": float(np.linalg.slogdet(cov)[1])}
 
-    The number of groups is a property of the corpus (languages times sources); the estimates
-    of all groups are held as one table of a few hundred bytes a group.
+
+ESTIMATE = "key string, start int, mean array<double>, inverse array<double>, logdet double"
+
+
+def solve(rows: DataFrame, of: Callable[[dict], dict]) -> DataFrame:
+    """key, start and the estimate that ``of`` makes of each row."""
+
+    def make():
+        def work(cols):
+            made = [of(dict(zip(cols, r, strict=True))) for r in zip(*cols.values(), strict=True)]
+            return {"key": cols["key"], "start": cols["start"]} | {c: [m[c] for m in made] for c in ("mean", "inverse", "logdet")}
+
+        return work
+
+    return map_batches(rows, make, ESTIMATE)
+
+
+def robust_estimates(stats: DataFrame, group: list[str], xs: list[str], *, steps: int = STEPS, half: float = HALF, min_group: int = MIN_GROUP, cut: float = CUT, reweighted: bool = True) -> DataFrame:
+    """key, mean, inverse and logdet: for each group with at least ``min_group`` rows its MCD estimate, reweighted by the rows within the cut.
+
+    Estimates are a table of a few hundred bytes a group, solved by the executors.
     """
-    spark, p = stats.sparkSession, len(xs)
+    p = len(xs)
     key = F.to_json(F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("all")
     rows = stats.withColumn("key", key).select("key", *xs)
-    schema = "key string, start int, mean array<double>, inverse array<double>"
 
-    def table(found: dict) -> DataFrame:
-        return spark.createDataFrame([(*k, *v[:2]) for k, v in found.items()], schema)
+    def estimates(kept: DataFrame, grow: float) -> DataFrame:
+        def of(row):
+            mean, cov = covariance(row, p)
+            return solved(mean, cov * grow)
 
-    def estimates(kept: DataFrame, grow: float) -> dict:
-        return {(r["key"], r["start"]): estimate(r, p, grow) for r in kept.groupBy("key", "start").agg(*moments(xs)).collect()}
+        return solve(kept.groupBy("key", "start").agg(*moments(xs)), of)
 
-    def concentrated(found: dict) -> dict:
+    def concentrated(found: DataFrame) -> DataFrame:
         """One concentration step of every start."""
-        near = rows.join(few(table(found)), "key").withColumn("d2", distance(xs))
+        near = rows.join(few(found.select("key", "start", "mean", "inverse")), "key").withColumn("d2", distance(xs))
         near = near.withColumn("klass", F.floor(F.log(F.col("d2") + 1e-3) * CLASSES).cast("int"))
         counted = near.groupBy("key", "start", "klass").agg(F.count("*").alias("n"))
         by = Window.partitionBy("key", "start")
         upto = counted.withColumns({"upto": F.sum("n").over(by.orderBy("klass")), "total": F.sum("n").over(by)})
         bound = upto.filter(F.col("upto") >= half * F.col("total")).groupBy("key", "start").agg(F.min("klass").alias("most"))
         # consistency: the central share of a normal has a smaller covariance
-        return estimates(near.join(few(bound), ["key", "start"]).filter("klass <= most"), consistency(half))
+        return materialize(estimates(near.join(few(bound), ["key", "start"]).filter("klass <= most"), consistency(half)), "estimates")
 
     # Starts: medians and median absolute deviations, by counts of narrow classes of each coordinate.
     middle = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)]).filter(F.col("n") >= min_group)
     middle = materialize(middle, "medians")
     few = F.broadcast if middle.count() <= BROADCAST_GROUPS else lambda df: df
     spread = rows.join(few(middle), "key").groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)])
-    scales = {r["key"]: ([float(r[f"m{i}"]) for i in range(p)], [math.sqrt((1.4826 * r[f"d{i}"]) ** 2 + (FLOOR[i] * UNIT) ** 2) for i in range(p)]) for r in middle.join(spread, "key").collect()}
-    if not scales:
-        return spark.createDataFrame([], "key string, mean array<double>, inverse array<double>")
-    found = {(k, 0): (m, np.diag(1 / np.square(sd)).flatten().tolist()) for k, (m, sd) in scales.items()}
+    deviation = lambda i: F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)) + (FLOOR[i] * UNIT) ** 2)
+    scales = middle.join(spread, "key").select("key", F.array(*[F.col(f"m{i}").cast("double") for i in range(p)]).alias("m"), F.array(*[deviation(i) for i in range(p)]).alias("sd"))
+    scales = materialize(scales, "scales")
+
+    def diagonal(row):
+        return {"mean": row["m"], "inverse": np.diag(1 / np.square(row["sd"])).flatten().tolist(), "logdet": 0.0}
+
+    def rescaled(row):
+        shape = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                shape[i, j] = shape[j, i] = float(row[f"q{i}_{j}"]) / int(row["n"]) / UNIT**2 * row["sd"][i] * row["sd"][j]
+        return solved(row["m"], shape)
+
+    found = solve(scales.withColumn("start", F.lit(0)), diagonal)
     # … the covariance of all rows, of their hyperbolic tangents and of their spatial signs; the last two about the medians.
-    found |= {(k, 1): v for (k, _), v in estimates(rows.join(few(middle.select("key")), "key").withColumn("start", F.lit(1)), 1.0).items()}
-    scaled = spark.createDataFrame([(k, m, sd) for k, (m, sd) in scales.items()], "key string, m array<double>, sd array<double>")
+    scaled = rows.join(few(scales), "key")
+    found = found.unionByName(estimates(scaled.withColumn("start", F.lit(1)), 1.0))
     z = [(F.col(x) - F.col("m")[i]) / F.col("sd")[i] for i, x in enumerate(xs)]
     norm = F.sqrt(sum(v * v for v in z) + 1e-12)
     for start, bent in ((2, [F.tanh(v) for v in z]), (3, [v / norm for v in z])):
         # whole multiples of 1 / UNIT, so that sums are exact
-        whole = rows.join(few(scaled), "key").select("key", F.lit(start).alias("start"), *[F.round(v * UNIT).cast("long").alias(x) for v, x in zip(bent, xs, strict=True)])
-        for r in whole.groupBy("key", "start").agg(*moments(xs)).collect():
-            m, sd = scales[r["key"]]
-            shape = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    shape[i, j] = shape[j, i] = float(r[f"q{i}_{j}"]) / int(r["n"]) / UNIT**2 * sd[i] * sd[j]
-            shape += np.diag([(f * UNIT) ** 2 for f in FLOOR[:p]])
-            found[r["key"], start] = (m, np.linalg.inv(shape).flatten().tolist())
+        whole = scaled.select("key", F.lit(start).alias("start"), *[F.round(v * UNIT).cast("long").alias(x) for v, x in zip(bent, xs, strict=True)])
+        found = found.unionByName(solve(whole.groupBy("key", "start").agg(*moments(xs)).join(few(scales), "key"), rescaled))
+    found = materialize(found, "starts")
     for _ in range(max(1, steps)):  # the determinant is known after a step
         found = concentrated(found)
-    best: dict = {}
-    for (key, start), v in sorted(found.items()):
-        if key not in best or v[2] < best[key][1][2]:
-            best[key] = (start, v)
-    found = {(key, start): v for key, (start, v) in best.items()}
+    best = found.groupBy("key").agg(F.min_by(F.struct("start", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("x"))
+    found = materialize(best.select("key", "x.*", F.lit(True).alias("moves")), "best")
     for _ in range(FURTHER):
-        after = concentrated(found)
-        falls = [k for k, v in found.items() if after[k][2] < v[2] - FALL]
-        found |= {k: after[k] for k in falls}
-        if not falls:
+        after = concentrated(found.filter("moves")).select("key", F.struct("start", "mean", "inverse", "logdet").alias("y"))
+        falls = F.coalesce(F.col("y.logdet") < F.col("logdet") - FALL, F.lit(False))
+        kept = F.when(falls, F.col("y")).otherwise(F.struct("start", "mean", "inverse", "logdet"))
+        found = materialize(found.join(after, "key", "left").select("key", kept.alias("x"), falls.alias("moves")).select("key", "x.*", "moves"), "best")
+        if found.filter("moves").isEmpty():
             break
-    final = rows.join(few(table(found)), "key").withColumn("d2", distance(xs)).filter(F.col("d2") <= cut)
-    return table(estimates(final, 1.05)).drop("start")
+    if not reweighted:
+        return found.select("key", "mean", "inverse", "logdet")
+    final = rows.join(few(found.select("key", "start", "mean", "inverse")), "key").withColumn("d2", distance(xs)).filter(F.col("d2") <= cut)
+    # the cut takes a millionth of a normal's rows and hardly any of its covariance; heavier tails lose more
+    return materialize(estimates(final, REWEIGHTED).drop("start"), "estimates")
 
 
 def verdicts(stats: DataFrame, *, cut: float = CUT, min_group: int = MIN_GROUP, steps: int = STEPS, half: float = HALF) -> DataFrame:
@@ -232,6 +261,7 @@ def verdicts(stats: DataFrame, *, cut: float = CUT, min_group: int = MIN_GROUP,
     key = F.to_json(F.struct(F.col("lang").alias("g0"), F.col("source").alias("g1")), {"ignoreNullFields": "false"})
     own = robust_estimates(usable, ["lang", "source"], xs, steps=steps, half=half, min_group=min_group, cut=cut)
     every = robust_estimates(usable, [], xs, steps=steps, half=half, min_group=1, cut=cut).select(F.col("mean").alias("mean_all"), F.col("inverse").alias("inverse_all"))
+    own = own.drop("logdet")
     rows = stats.withColumn("key", key).join(own if own.count() > BROADCAST_GROUPS else F.broadcast(own), "key", "left").join(F.broadcast(every), F.lit(True), "left")
     rows = rows.withColumns({"mean": F.coalesce("mean", "mean_all"), "inverse": F.coalesce("inverse", "inverse_all")})
     rows = rows.withColumn("distance2", distance(xs))

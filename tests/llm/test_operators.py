@@ -342,6 +342,24 @@ def test_robust_estimate_withstands_large_groups_of_copies(spark):
         assert ((d @ inverse * d).sum(axis=1) <= quality.CUT).mean() > 0.995
 
 
+def test_estimate_has_the_least_determinant_of_all_halves(spark):
+    rng = np.random.default_rng(8)
+    made = {}
+    for name, far in (("a", 0), ("b", 4), ("c", 6)):
+        good = rng.multivariate_normal([0, 0], [[9e8, 4e8], [4e8, 4e8]], 16 - far)
+        made[name] = np.concatenate([good, rng.multivariate_normal([4e5, -3e5], np.diag([1e8, 1e8]), far)]).round().astype(int)
+    df = spark.createDataFrame([(k, *map(int, r)) for k, x in made.items() for r in x], "lang string, x0 long, x1 long")
+    got = {k: r for r in quality.robust_estimates(df, ["lang"], ["x0", "x1"], min_group=1, reweighted=False).collect() for k in made if f'"{k}"' in r["key"]}
+    for k, x in made.items():
+        halves = [x[list(h)].astype(float) for h in itertools.combinations(range(16), 8)]
+        floor = np.diag([(f * quality.UNIT) ** 2 for f in quality.FLOOR[:2]])
+        logs = [np.linalg.slogdet(np.cov(h.T, bias=True) * quality.consistency(0.5) + floor)[1] for h in halves]
+        # no half is better by more than the classes of distances and local optima allow
+        assert sum(v < got[k]["logdet"] - 0.05 for v in logs) <= len(logs) // 1000, k
+        best = halves[int(np.argmin(logs))].mean(axis=0)
+        assert np.abs(np.array(got[k]["mean"]) - best).max() < 1.5e4, k
+
+
 def test_gradients_of_the_recurrent_network():
     net = langid.Network(["a", "b", "c"], embed=3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
