@@ -75,29 +75,36 @@ class Network:
     def _states(self, x: np.ndarray, d: str, keep: dict | None = None) -> np.ndarray:
         """Hidden states (time, batch, hidden) of one direction, in order of place."""
         h_n, (steps, n) = self.hidden, x.shape
-        # a gate is (1 + tanh(a / 2)) / 2, so the halves go into the tables
-        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h_n)
-        table = (self.p["embed"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]) * half
-        rec = self.p[f"rec_{d}"] * half
-        h, out = np.zeros((n, h_n), table.dtype), np.empty((steps, n, h_n), table.dtype)
+        # A gate is (1 + tanh(a / 2)) / 2: the inner half goes into the tables, the outer one of the first gate too.
+        table = self.p["embed"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]
+        gates_of, new_of = table[:, : 2 * h_n] * 0.5, np.ascontiguousarray(table[:, 2 * h_n :])
+        rec_gates, rec_new = self.p[f"rec_{d}"][:, : 2 * h_n] * 0.5, self.p[f"rec_{d}"][:, 2 * h_n :] * 0.5
+        kind = table.dtype
+        out, h = np.empty((steps, n, h_n), kind), np.zeros((n, h_n), kind)
+        gates, through, new, back = (np.empty((n, w), kind) for w in (2 * h_n, 2 * h_n, h_n, h_n))
+        r, z = gates[:, :h_n], gates[:, h_n:]
         if keep is not None:
-            keep |= {k: np.empty((steps, n, w), table.dtype) for k, w in (("gates", 2 * h_n), ("new", h_n), ("u", h_n), ("before", h_n))}
+            keep |= {k: np.empty((steps, n, w), kind) for k, w in (("gates", 2 * h_n), ("new", h_n), ("u", h_n), ("before", h_n))}
+        # buffers are reused, as most of the time goes into moving memory
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            a, u = table[x[t]], h @ rec
-            gates, new, back = a[:, : 2 * h_n], a[:, 2 * h_n :], u[:, 2 * h_n :]
-            gates += u[:, : 2 * h_n]
+            np.take(gates_of, x[t], axis=0, out=gates, mode="clip")
+            gates += np.matmul(h, rec_gates, out=through)
             np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
+            gates += 1
+            np.matmul(h, rec_new, out=back)
             if keep is not None:
-                keep["u"][t], keep["before"][t], keep["gates"][t] = back, h, gates
-            back *= gates[:, :h_n]
+                keep["before"][t] = h
+                np.multiply(gates, 0.5, out=keep["gates"][t])
+                np.multiply(back, 2, out=keep["u"][t])
+            back *= r
+            np.take(new_of, x[t], axis=0, out=new, mode="clip")
             new += back
             np.tanh(new, out=new)
             if keep is not None:
                 keep["new"][t] = new
             h = np.subtract(h, new, out=out[t])
-            h *= gates[:, h_n:]
+            h *= z
+            h *= 0.5
             h += new
         return out
 
