@@ -3,10 +3,11 @@
 Learning takes a bounded sample of labelled rows (EXAMPLES, those of least hash). Every word of
 the examples is a term; a term's weight is its inverse document frequency, counted over all
 documents of the corpus, times how strongly it marks the label among the examples (FLOOR for a
-term that does not). Examples lie in blocks, like by like; a term's postings keep their largest
-weight in each block, so a block whose bound is under the k-th best cosine so far is not read,
-and the neighbours found are exactly the k nearest. They vote by cosine; votes pass through a
-monotone calibration fitted on the examples with themselves left out.
+term that does not). Examples lie in blocks, like by like. Postings of common terms keep their
+largest weight in each block, so a block whose bound is under the k-th best cosine so far is not
+read; lists with few postings a block are read whole. The neighbours found are exactly the k
+nearest. They vote by cosine; votes pass through a monotone calibration fitted on the examples
+with themselves left out.
 
 Defined results: null and empty texts, and texts without a word of any example, have no terms,
 no evidence and the rate of such examples; equal cosines go to the example of the lower number;
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 
 from ._base import arrow_schema, broadcast_value, bucket, filter_rows, map_batches, pieces, read
 
-#: Labelled rows that are learned from, and examples in an index block.
-EXAMPLES, BLOCK = 8192, 64
+#: Labelled rows that are learned from, examples in an index block, and texts searched at once.
+EXAMPLES, BLOCK, AT_ONCE = 8192, 64, 64
+#: Terms that more than one in so many examples holds are common: their postings lie by block.
+COMMON = 16
+#: Rounding that a bound or a cosine of four bytes may have.
+SLACK = 1e-5
 NEIGHBOURS, THRESHOLD, PRIOR_VOTES = 15, 0.7, 0.5
 #: Weight of a term that does not mark the label; cases taken off its positives; chi-square at which it weighs a quarter.
 FLOOR, DOUBT, HALF = 0.05, 1.5, 15.0
@@ -51,81 +56,103 @@ def spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Postings sorted by term, then example; an entry for each term and block has their largest weight."""
+    """Postings of unit vectors: of common terms a row per example, blocks of them with each term's largest weight; of others lists."""
 
-    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = BLOCK):
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = BLOCK, common: int = COMMON):
         self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
-        pair = term[order].astype(np.int64) * self.blocks + self.example // block
-        first = np.flatnonzero(np.diff(pair, prepend=-1))
-        self.starts = np.append(first, len(pair))
-        self.blocks_of = (pair[first] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        self.entries = np.searchsorted(pair[first] // self.blocks, np.arange(terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of the k examples of largest cosine (above zero), best first, ties by number; ``but`` is left out."""
-        entries, n = spans(self.entries[terms], self.entries[terms + 1])
-        query, block = np.repeat(weights, n), self.blocks_of[entries]
-        bound = np.bincount(block, query * self.most[entries], self.blocks)
-        scores, unread = np.zeros(self.n), bound > 0
-        least = 0.0
+        held = np.bincount(term, minlength=terms)
+        often = held * common > n
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        some = often[term]
+        self.rows = np.zeros((self.blocks * block, int(often.sum())), np.float32)
+        self.rows[example[some], self.column[term[some]]] = weight[some]
+        self.most = self.rows.reshape(self.blocks, block, -1).max(axis=1)
+        order = np.flatnonzero(~some)
+        order = order[np.lexsort((example[order], term[order]))]
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float64)
+        self.starts = np.concatenate([[0], np.cumsum(np.where(often, 0, held))])
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, weights): cosines and numbers of the k examples of largest cosine (above zero), best first, ties by number; ``but`` are left out."""
+        m, size = len(queries), self.blocks * self.block
+        common, listed = np.zeros((m, self.rows.shape[1])), np.zeros((m, size))
+        for i, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            common[i, column[column >= 0]] = weights[column >= 0]
+            at, n = spans(self.starts[terms], self.starts[terms + 1])
+            listed[i] = np.bincount(self.example[at], np.repeat(weights, n) * self.weight[at], size)
+        query, lists = common.astype(np.float32), listed.astype(np.float32)
+        bound = query @ self.most.T + lists.reshape(m, self.blocks, self.block).max(axis=2)
+        scores, unread, least = np.full((m, size), -1, np.float32), bound > 0, np.zeros(m, np.float32)
         # the blocks of best bounds give a first k-th best; then all blocks that may still hold a better one
         for few in (2 + k // self.block, self.blocks):
-            promising = np.flatnonzero(unread & (bound >= least - 1e-9))
-            reads = promising[np.argsort(-bound[promising], kind="stable")][:few]
-            now = np.zeros(self.blocks, bool)
-            now[reads] = True
-            unread &= ~now
-            here = now[block]
-            at, lengths = spans(self.starts[entries[here]], self.starts[entries[here] + 1])
-            scores += np.bincount(self.example[at], np.repeat(query[here], lengths) * self.weight[at], self.n)
-            if 0 <= but:
-                scores[but] = 0
-            least = np.partition(scores, -k)[-k] if self.n > k else 0.0
-        found = np.flatnonzero((scores > 0) & (scores >= least))
-        found = found[np.argsort(-scores[found], kind="stable")][:k]
-        return scores[found], found
+            reads = unread & (bound >= least[:, None] - SLACK)
+            if few < self.blocks:
+                reads &= bound >= np.partition(bound, self.blocks - few, axis=1)[:, [self.blocks - few]]
+            unread &= ~reads
+            for b in np.flatnonzero(reads.any(axis=0)).tolist():
+                rows, here = np.flatnonzero(reads[:, b]), slice(b * self.block, (b + 1) * self.block)
+                scores[rows, here] = query[rows] @ self.rows[here].T + lists[rows, here]
+            if but is not None:
+                scores[np.arange(m), but] = -1
+            if size > k:
+                least = np.maximum(np.partition(scores, size - k, axis=1)[:, size - k], 0)
+        out = []
+        for i in range(m):
+            found = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - SLACK))
+            exact = (self.rows[found] * common[i]).sum(axis=1) + listed[i, found]
+            best = np.argsort(-exact, kind="stable")[:k]
+            out.append((exact[best], found[best]))
+        return out
+
+
+class Examples:
+    """The examples' words: ``example``, ``term`` and ``count`` are the postings, in order of terms."""
+
+    def __init__(self, n: int, example: np.ndarray, term: np.ndarray, count: np.ndarray, terms: pa.Array, weights: np.ndarray):
+        order = np.argsort(term, kind="stable")
+        self.n, self.terms, self.weights = n, terms, weights
+        self.held = np.bincount(term, minlength=len(terms)).astype(np.int32)
+        self.example, self.count = example[order].astype(np.int32), count[order].astype(np.int32)
+        self._made: dict = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": {}}
 
-class Model:
-    """Examples as vectors over ``terms`` (their words); ``example``, ``term`` and ``count`` are the postings."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, terms: pa.Array, in_docs: np.ndarray, n_docs: int, k: int = NEIGHBOURS):
-        self.terms, self.k = terms, k
-        self.base = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
-        marks = marking(np.bincount(term, minlength=len(terms)), np.bincount(term, labels[example], len(terms)), float(labels.mean()) if len(labels) else 0.0)
-        self.weights = (np.log((1 + n_docs) / (1 + in_docs)) + 1) * (FLOOR + (1 - FLOOR) * marks)
-        spoken = np.bincount(example, minlength=len(ids)) > 0
-        self.silent = float((labels[~spoken].sum() + self.base) / ((~spoken).sum() + 1)) if len(ids) else 0.0
-        # Like stands by like, so that blocks have tight bounds: by strongest mark, then by commonest word.
-        of = np.argsort(example, kind="stable")
-        at = np.flatnonzero(np.diff(example[of], prepend=-1))
-        mark, common = np.full(len(ids), -1), np.full(len(ids), -1)
-        for rows in np.split(of, at[1:]) if len(at) else []:
-            strongest = term[rows[np.argmax(marks[term[rows]])]]
-            mark[example[rows[0]]] = strongest if marks[strongest] > 0.25 else -1
-            common[example[rows[0]]] = term[rows[np.argmax(count[rows])]]
-        order = np.lexsort((ids, common, mark))
-        order = order[spoken[order]]
-        place = np.zeros(len(ids), np.int64)
-        place[order] = np.arange(len(order))
-        self.ids, self.labels = ids[order], labels[order].astype(np.float64)
-        raw = (1 + np.log(count)) * self.weights[term]
-        norm = np.sqrt(np.bincount(example, raw * raw, len(ids)))
-        self.index = BlockMaxIndex(place[example], term, raw / norm[example], len(order), len(terms))
-        self.steps: tuple[list[float], list[float]] = ([], [])
-        self._place: dict | None = None
+    def _once(self, name: str, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_place": None}
+    def _postings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of the postings, the examples' vectors of length one."""
+        term = np.repeat(np.arange(len(self.held)), self.held)
+        raw = (1 + np.log(self.count)) * self.weights[term]
+        return term, raw / np.sqrt(np.bincount(self.example, raw * raw, self.n))[self.example]
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        def make():
+            term, weight = self._postings()
+            return BlockMaxIndex(self.example, term, weight, self.n, len(self.held))
+
+        return self._once("index", make)
+
+    def of(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of an example."""
+
+        def make():
+            term, weight = self._postings()
+            order = np.argsort(self.example, kind="stable")
+            return term[order], weight[order], np.searchsorted(self.example[order], np.arange(self.n + 1))
+
+        term, weight, at = self._once("by_example", make)
+        here = slice(at[number], at[number + 1])
+        return term[here], weight[here]
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and their weights, of length one."""
-        if self._place is None:
-            self._place = {w: i for i, w in enumerate(self.terms.to_pylist())}
-        of = self._place.get
+        of = self._once("place", lambda: {w: i for i, w in enumerate(self.terms.to_pylist())}).get
         known = [(i, n) for w, n in word_counts(text).items() if (i := of(w)) is not None]
         if not known:
             return np.zeros(0, np.int64), np.zeros(0)
@@ -133,21 +160,27 @@ class Model:
         x = (1 + np.log(n)) * self.weights[at]
         return at, x / math.sqrt(float(x @ x))
 
+
+class Model:
+    """Calibrated votes of the nearest examples; ``shared`` is the broadcast of Examples."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, base: float, silent: float, shared, k: int):
+        self.ids, self.labels, self.base, self.silent, self.shared, self.k = ids, labels.astype(np.float64), base, silent, shared, k
+        self.steps: tuple[list[float], list[float]] = ([], [])
+
     def vote(self, cosines: np.ndarray, near: np.ndarray) -> float:
         """The cosine-weighted share of positive neighbours, with a little of the base rate."""
         return float((cosines @ self.labels[near] + PRIOR_VOTES * self.base) / (cosines.sum() + PRIOR_VOTES))
 
-    def calibrate(self, votes: list[float]) -> None:
-        self.steps = isotonic(votes, self.labels.tolist())
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The calibrated score, and the cosines and numbers of the neighbours."""
-        terms, weights = self.vector(text)
-        if not len(terms):
-            return self.silent, np.zeros(0), np.zeros(0, np.int64)
-        cosines, near = self.index.nearest(terms, weights, self.k)
-        raw = self.vote(cosines, near)
-        return float(np.interp(raw, *self.steps)) if self.steps[0] else raw, cosines, near
+    def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text the calibrated score, and the cosines and numbers of the neighbours."""
+        out = []
+        for a in range(0, len(texts), AT_ONCE):
+            queries = [self.shared.value.vector(t) for t in texts[a : a + AT_ONCE]]
+            for (terms, _), (cosines, near) in zip(queries, self.shared.value.index.nearest(queries, self.k), strict=True):
+                raw = self.vote(cosines, near)
+                out.append((float(np.interp(raw, *self.steps)) if len(terms) else self.silent, cosines, near))
+        return out
 
 
 def marking(count: np.ndarray, positive: np.ndarray, base: float) -> np.ndarray:
@@ -187,6 +220,7 @@ def document_frequencies(corpus: DataFrame, terms: pa.Array, *, text_col: str =
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(found[some], texts), pa.int64())], schema=out)
 
     got = corpus.select(F.col(text_col).cast("string")).mapInArrow(count, struct).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     n = np.zeros(len(terms) + 1, np.int64)  # the last place, -1, has the number of texts
     n[got["term"].to_numpy()] = got["n"].to_numpy()
     return n[:-1], int(n[-1])
@@ -218,34 +252,50 @@ def learn(labelled: DataFrame, corpus: DataFrame, *, id_col: str = "doc_id", tex
     terms, term = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
     example = np.repeat(np.arange(got.num_rows), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
     in_docs, n_docs = document_frequencies(corpus, terms, text_col=text_col) if len(terms) else (np.zeros(0), 0)
-    model = Model(got["doc_id"].to_numpy(), got["y"].to_numpy(), example, term, lists[1].flatten().to_numpy().astype(np.float64), terms, in_docs, n_docs, neighbours)
-    if len(model.ids):
-        model.calibrate(left_out_votes(spark, model))
+    ids, labels, count = got["doc_id"].to_numpy(), got["y"].to_numpy(), lists[1].flatten().to_numpy()
+    base = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
+    marks = marking(np.bincount(term, minlength=len(terms)), np.bincount(term, labels[example], len(terms)), float(labels.mean()) if len(labels) else 0.0)
+    weights = (np.log((1 + n_docs) / (1 + in_docs)) + 1) * (FLOOR + (1 - FLOOR) * marks)
+    spoken = np.bincount(example, minlength=len(ids)) > 0
+    silent = float((labels[~spoken].sum() + base) / ((~spoken).sum() + 1)) if len(ids) else 0.0
+    place, order = likeness(example, term, count, marks, ids, spoken)
+    model = Model(ids[order], labels[order], base, silent, broadcast_value(spark, Examples(len(order), place[example], term, count, terms, weights)), neighbours)
+    if len(order):
+        model.steps = isotonic(left_out_votes(spark, model), model.labels.tolist())
     return model
 
 
+def likeness(example: np.ndarray, term: np.ndarray, count: np.ndarray, marks: np.ndarray, ids: np.ndarray, spoken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The examples' places and their order: like stands by like, so that blocks have tight bounds, by strongest mark, then by commonest word."""
+    of = np.argsort(example, kind="stable")
+    at = np.flatnonzero(np.diff(example[of], prepend=-1))
+    mark, common = np.full(len(ids), -1), np.full(len(ids), -1)
+    for rows in np.split(of, at[1:]) if len(at) else []:
+        strongest = term[rows[np.argmax(marks[term[rows]])]]
+        mark[example[rows[0]]] = strongest if marks[strongest] > 0.25 else -1
+        common[example[rows[0]]] = term[rows[np.argmax(count[rows])]]
+    order = np.lexsort((ids, common, mark))
+    order = order[spoken[order]]
+    place = np.zeros(len(ids), np.int64)
+    place[order] = np.arange(len(order))
+    return place, order
+
+
 def left_out_votes(spark: SparkSession, model: Model) -> list[float]:
     """Each example's vote by the others."""
-    shared = broadcast_value(spark, model)
 
     def make():
-        m = shared.value
-        index = m.index
-        term = np.repeat(np.arange(len(index.entries) - 1), np.diff(index.starts[index.entries]))
-        of = np.argsort(index.example, kind="stable")
-        at = np.searchsorted(index.example[of], np.arange(index.n + 1))
-
         def work(cols):
-            votes = []
-            for i in cols["id"]:
-                rows = of[at[i] : at[i + 1]]
-                votes.append(m.vote(*index.nearest(term[rows], index.weight[rows].astype(np.float64), m.k, but=i)))
+            votes, known = [], model.shared.value
+            for a in range(0, len(cols["id"]), AT_ONCE):
+                some = cols["id"][a : a + AT_ONCE]
+                votes += [model.vote(*x) for x in known.index.nearest([known.of(i) for i in some], model.k, some)]
             return {"id": cols["id"], "vote": votes}
 
         return work
 
     n = len(model.ids)
-    got = map_batches(spark.range(0, n, 1, max(1, min(64, n // 128))), make, "id long, vote double").toArrow()
+    got = map_batches(spark.range(0, n, 1, max(1, min(16, n // 256))), make, "id long, vote double").toArrow()
     votes = np.zeros(n)
     votes[got["id"].to_numpy()] = got["vote"].to_numpy()
     return votes.tolist()
@@ -254,18 +304,15 @@ def left_out_votes(spark: SparkSession, model: Model) -> list[float]:
 def score_documents(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, evidence (the neighbours' ids, cosines and labels)."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = broadcast_value(df.sparkSession, model)
 
     def make():
-        m = shared.value
-
         def work(cols):
-            got = [m.score(t) for t in cols["text"]]
+            got = model.score(cols["text"])
             return {
                 "doc_id": cols["doc_id"],
                 "score": [s for s, _, _ in got],
                 "predicted": [int(s >= threshold) for s, _, _ in got],
-                "evidence": [[{"example": int(m.ids[i]), "cosine": c, "label": int(m.labels[i])} for c, i in zip(cosines.tolist(), near.tolist(), strict=True)] for _, cosines, near in got],
+                "evidence": [[{"example": int(model.ids[i]), "cosine": c, "label": int(model.labels[i])} for c, i in zip(cosines.tolist(), near.tolist(), strict=True)] for _, cosines, near in got],
             }
 
         return work
@@ -276,8 +323,7 @@ def score_documents(df: DataFrame, model: Model, *, id_col: str = "doc_id", text
 
 def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``df`` that score under ``threshold``."""
-    shared = broadcast_value(df.sparkSession, model)
-    return filter_rows(df, text_col, lambda: lambda texts: [shared.value.score(t)[0] < threshold for t in texts])
+    return filter_rows(df, text_col, lambda: lambda texts: [s < threshold for s, _, _ in model.score(texts)])
 
 
 def labelled_rows(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:

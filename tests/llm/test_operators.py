@@ -430,16 +430,19 @@ def test_block_max_search_is_exact():
     unit = lambda v: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()}
     examples = [unit(make()) for _ in range(500)] + [unit({1: 1.0})] * 30
     flat = [(i, t, w) for i, e in enumerate(examples) for t, w in e.items()]
-    index = toxicity.BlockMaxIndex(*map(np.array, zip(*flat, strict=True)), len(examples), 40, block=16)
-    for q in [unit(make()) for _ in range(60)] + [unit({1: 1.0}), {}]:
-        for but in (-1, 3, 510):
-            every = sorted((-round(sum(w * e.get(t, 0) for t, w in q.items()), 6), i) for i, e in enumerate(examples) if i != but)
-            want = [s for s, _ in every if s < 0][:15]
-            cosines, near = index.nearest(np.array(list(q), np.int64), np.array(list(q.values())), 15, but)
-            assert np.allclose(-cosines, want, atol=2e-6) and but not in near
-            assert all(abs(sum(w * examples[i].get(t, 0) for t, w in q.items()) - c) < 2e-6 for c, i in zip(cosines, near, strict=True))
-            ties = [(c, i) for c, i in zip(np.round(-cosines, 6), near, strict=True)]
-            assert len(set(near.tolist())) == len(near) and (len(q) != 1 or ties == sorted(ties))
+    queries = [unit(make()) for _ in range(60)] + [unit({1: 1.0}), {}]
+    flatten = [(np.array(list(q), np.int64), np.array(list(q.values()))) for q in queries]
+    for common in (2, 16, 1000):
+        index = toxicity.BlockMaxIndex(*map(np.array, zip(*flat, strict=True)), len(examples), 40, block=16, common=common)
+        for but in (None, 3, 510):
+            for q, (cosines, near) in zip(queries, index.nearest(flatten, 15, None if but is None else [but] * len(queries)), strict=True):
+                every = sorted((-round(sum(w * e.get(t, 0) for t, w in q.items()), 6), i) for i, e in enumerate(examples) if i != but)
+                want = [s for s, _ in every if s < 0][:15]
+                assert np.allclose(-cosines, want, atol=2e-6) and but not in near
+                assert all(abs(sum(w * examples[i].get(t, 0) for t, w in q.items()) - c) < 2e-6 for c, i in zip(cosines, near, strict=True))
+                assert len(set(near.tolist())) == len(near)
+                if len(q) == 1:
+                    assert list(zip(-cosines, near, strict=True)) == sorted(zip(-cosines, near, strict=True))
 
 
 def test_neighbours_are_those_of_plain_tf_idf(spark):
@@ -449,7 +452,7 @@ def test_neighbours_are_those_of_plain_tf_idf(spark):
     labels = spark.createDataFrame([(i, int("which" in (texts[i] or ""))) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.learn(df.join(labels, "doc_id"), df, neighbours=5)
     counts = [Counter(re.findall(r"[a-z\u0080-\U0010ffff]+", (t or "").lower())) for t in texts]
-    place = {w.decode(): i for i, w in enumerate(model.terms.to_pylist())}
+    place = {w.decode(): i for i, w in enumerate(model.shared.value.terms.to_pylist())}
     assert set(place) == {w for c in counts[:60] for w in c}
     mark = toxicity.marking(*(np.array([sum(1 for i in range(60) if w in counts[i] and (not only or "which" in texts[i])) for w in place], float) for only in (False, True)), np.mean([int("which" in texts[i]) for i in range(60)]))
     weight = {w: (math.log((1 + len(texts)) / (1 + sum(w in c for c in counts))) + 1) * (toxicity.FLOOR + (1 - toxicity.FLOOR) * mark[i]) for w, i in place.items()}
