@@ -39,8 +39,8 @@ DOUBLES, LARGEST = 256, 16_384
 CHUNK, FAN = 4096, 64
 #: Words and tokens at which a chunk of documents ends.
 COUNTED, CHUNK_TOKENS = 150_000, 1_000_000
-#: Positions scored at once.
-AT_ONCE = 8192
+#: Positions scored at once, and those trained on at once within a batch.
+AT_ONCE, TILE = 8192, 2048
 _KEEP = bytes(b | 32 if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
@@ -196,31 +196,38 @@ def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def _loss_and_slopes(x: np.ndarray, at: np.ndarray) -> float:
-    """Turns logits into the mean loss's gradients by them, in place; returns the summed loss."""
+def _loss_and_slopes(x: np.ndarray, at: np.ndarray, n: int) -> float:
+    """Turns logits into the gradients of the loss's mean over ``n`` rows, in place; returns the summed loss."""
     some = np.arange(len(x))
     loss = -float(np.clip(x[some, at], -MOST_LOGIT, MOST_LOGIT).sum(dtype=np.float64))
     total = _normalise(x)
     loss += float(np.log(total).sum(dtype=np.float64))
-    x *= (1 / (total * len(x)))[:, None]
-    x[some, at] -= x.dtype.type(1 / len(x))
+    x *= (1 / (total * n))[:, None]
+    x[some, at] -= x.dtype.type(1 / n)
     return loss
 
 
 def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray) -> float:
-    """Adds the mean loss's gradients to ``g``; returns the loss."""
-    n = len(target)
+    """Adds the mean loss's gradients to ``g``; returns the loss. Rows are taken in tiles that stay in a core's cache."""
+    n, loss = len(target), 0.0
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
-    context, target = context[order], target[order]
+    for a in range(0, n, TILE):
+        rows = order[a : a + TILE]
+        loss += _tile(p, g, context[rows], target[rows], n)
+    return loss / n
+
+
+def _tile(p: dict, g: dict, context: np.ndarray, target: np.ndarray, n: int) -> float:
+    """The part of rows that are sorted by class, of ``n`` in all."""
     klass, inner = target // WIDTH, target % WIDTH
-    flat = p["embed"].take(context, axis=0).reshape(n, -1)
+    flat = p["embed"].take(context, axis=0, mode="clip").reshape(len(target), -1)
     h = flat @ p["hide"]
     h += p["hide_b"]
     np.tanh(h, out=h)
     d = h @ p["klass"]
     d += p["klass_b"]
-    loss = _loss_and_slopes(d, klass)
-    ones = _ONES[:1].repeat(n).astype(h.dtype, copy=False)
+    loss = _loss_and_slopes(d, klass, n)
+    ones = np.ones(len(target), h.dtype)
     g["klass"] += h.T @ d
     g["klass_b"] += ones @ d
     dh = d @ p["klass"].T
@@ -228,19 +235,20 @@ def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray) -> floa
     for c, a, b in spans:
         np.matmul(h[a:b], p["word"][c], out=d[a:b])
         d[a:b] += p["word_b"][c]
-    loss += _loss_and_slopes(d, inner)
+    loss += _loss_and_slopes(d, inner, n)
     for c, a, b in spans:
         x = d[a:b]
         g["word"][c] += h[a:b].T @ x
         g["word_b"][c] += ones[a:b] @ x
         dh[a:b] += x @ p["word"][c].T
-    dh *= 1 - h * h
+    h *= h
+    dh *= np.subtract(1, h, out=h)
     g["hide"] += flat.T @ dh
     g["hide_b"] += ones @ dh
-    slopes, at = (dh @ p["hide"].T).reshape(-1, EMBED), context.ravel()
+    slopes, at = np.ascontiguousarray((dh @ p["hide"].T).reshape(-1, EMBED).T), context.ravel()
     for j in range(EMBED):
-        g["embed"][:, j] += np.bincount(at, slopes[:, j], TOKENS + 1)
-    return loss / n
+        g["embed"][:, j] += np.bincount(at, slopes[j], TOKENS + 1)
+    return loss
 
 
 class Adam:
@@ -326,43 +334,57 @@ def train_round(spark: SparkSession, table: DataFrame, vocab: dict[bytes, int],
 
 
 def score_chunks(table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray, totals: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood; a chunk meets the counts of its rare words in one task."""
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood.
+
+    The network scores a chunk where it lies; only the places of its rare words then move, to meet their counts.
+    """
     spark = table.sparkSession
     shared = broadcast_value(spark, (vocab, weights, classes))
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
-    struct, out = arrow_schema(f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    struct, out = arrow_schema(f"chunk long, doc_ids array<{kind}>, lengths array<long>, logs array<double>, n_rare array<long>, rare binary")
 
-    def score(table: pa.Table, counts: pa.Table) -> pa.Table:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, weights, classes = shared.value
         p = views(weights)
         # what each word adds to the hidden layer in each place of the window
         adds = [np.ascontiguousarray(p["embed"] @ p["hide"][k * EMBED : (k + 1) * EMBED]) for k in range(2 * SIDE)]
-        chunk_words, names, lengths, ids = (table[c][0] for c in ("words", "doc_ids", "lengths", "ids"))
-        token = token_of(vocab, chunk_words.as_py())
-        # log P(word | its hash class), 0 for words that are tokens of their own
-        share = np.zeros(len(token))
-        at = counts["place"].to_numpy()
-        share[at] = np.log(counts["n"].to_numpy()) - np.log(classes[token[at] - COMMON])
-        ids, lengths = np.frombuffer(ids.as_buffer(), "<u4"), lengths.values.to_numpy()
-        of, total = Windows(token[ids], lengths), np.zeros(len(ids) + 1)
-        for a in range(0, len(ids), AT_ONCE):
-            context, target = of(slice(a, a + AT_ONCE))
-            h = p["hide_b"] + adds[0][context[:, 0]]
-            for k in range(1, 2 * SIDE):
-                h += adds[k][context[:, k]]
-            total[a + 1 : a + 1 + len(target)] = log_probabilities(p, np.tanh(h, out=h), target)
-        total[1:] += share[ids]
-        np.cumsum(total, out=total)
-        ends = np.cumsum(lengths)
-        sums = total[ends] - total[ends - lengths]
-        means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
-        return pa.Table.from_arrays([names.values, pa.array(lengths), pa.array(np.where(lengths > 0, sums, 0.0)), means], schema=out)
-
+        of_class = np.concatenate([np.zeros(COMMON), -np.log(np.maximum(classes, 1))])
+        for batch in batches:
+            for chunk, chunk_words, doc_ids, lengths, ids in zip(*batch.columns, strict=True):
+                ids, n = np.frombuffer(ids.as_buffer(), "<u4"), lengths.values.to_numpy()
+                tokens = token_of(vocab, chunk_words.as_py())[ids]
+                of, logs = Windows(tokens, n), np.empty(len(ids))
+                for a in range(0, len(ids), AT_ONCE):
+                    context, target = of(slice(a, a + AT_ONCE))
+                    h = p["hide_b"] + adds[0][context[:, 0]]
+                    for k in range(1, 2 * SIDE):
+                        h += adds[k][context[:, k]]
+                    logs[a : a + AT_ONCE] = log_probabilities(p, np.tanh(h, out=h), target) + of_class[target]
+                rare = tokens >= COMMON
+                made = [chunk.as_py()], [doc_ids.values], [n], [per_document(logs, n)], [per_document(rare, n).astype(np.int64)], [ids[rare].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
+
+    scored, scored_out = arrow_schema(f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+
+    def finish(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        names, n, logs, n_rare, rare = (docs[c][0] for c in ("doc_ids", "lengths", "logs", "n_rare", "rare"))
+        n, at, rare = n.values.to_numpy(), counts["place"].to_numpy(), np.frombuffer(rare.as_buffer(), "<u4")
+        of_word = np.zeros(int(at.max(initial=-1)) + 1)
+        of_word[at] = np.log(counts["n"].to_numpy())
+        sums = logs.values.to_numpy() + per_document(of_word[rare], n_rare.values.to_numpy())
+        return pa.Table.from_arrays([names.values, pa.array(n), pa.array(np.where(n > 0, sums, 0.0)), pa.array(sums / np.maximum(n, 1), mask=n == 0)], schema=scored_out)
+
+    docs = table.select("chunk", "words", "doc_ids", "lengths", "ids").mapInArrow(predict, struct)
     rare = table.select("chunk", F.posexplode("words").alias("place", "word")).join(F.broadcast(spark_words(spark, vocab)), "word", "left_anti")
     # a word is once in a chunk, and common words are out, so no word has many rows
     counts = rare.join(totals, "word").select(F.col("chunk").alias("of"), "place", "n")
-    docs = table.select("chunk", "words", "doc_ids", "lengths", "ids")
-    return docs.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(score, struct)
+    return docs.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(finish, scored)
+
+
+def per_document(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs."""
+    total, ends = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]), np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
 
 
 def score_corpus(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
