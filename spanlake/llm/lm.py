@@ -6,8 +6,7 @@ sum of the conditional log-probabilities of all its words. Words are the corpus'
 P(word | hash class) by the counts of all documents, which stay a distributed table. The network's
 output is factored: classes of 64, then the word in its class. Texts are cut into words once and
 kept in chunks, each with its own word list. Training is data-parallel numpy: every task runs
-Adam over the positions of all its documents, every one in each round, in batches that grow with
-its steps; the tasks' weights are averaged by the number of positions, in a tree on the
+Adam over the positions of all its documents, every one in each round; the tasks' weights are averaged by the number of positions, in a tree on the
 executors, for each round. What is gathered (counts and weights of every task) grows with the
 corpus.
 
@@ -33,8 +32,6 @@ WIDTH, COMMON, RARE = 64, 3840, 256
 TOKENS, EDGE = COMMON + RARE, COMMON + RARE
 EMBED, HIDDEN, SIDE = 16, 32, 2
 ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.01, 5
-#: Steps after which a task's batches double, up to LARGEST.
-DOUBLES, LARGEST = 256, 16_384
 #: Weights in a row of the averaging, and tasks averaged at once.
 CHUNK, FAN = 4096, 64
 #: Words and tokens at which a chunk of documents ends.
@@ -305,12 +302,9 @@ def train_round(spark: SparkSession, table: DataFrame, vocab: dict[bytes, int],
                 tokens = token_of(vocab, chunk_words.as_py())[np.frombuffer(ids.as_buffer(), "<u4")]
                 of = Windows(tokens, lengths.values.to_numpy())
                 order = np.random.default_rng(seed + update.step).permutation(len(tokens))
-                a = 0
-                while a < len(order):
-                    b = min(len(order), a + min(LARGEST, BATCH << update.step // DOUBLES))
-                    gradients(p, g, *of(order[a:b]))
+                for a in range(0, len(order), BATCH):
+                    gradients(p, g, *of(order[a : a + BATCH]))
                     update()
-                    a = b
                 seen += len(tokens)
         if seen:
             n, task = -(-len(flat) // CHUNK), TaskContext.get().partitionId()
