@@ -31,7 +31,7 @@ from .bpe import Encoder, default_tokenizer
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a region: bounds what one task holds.
 REGION = 16_384
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 6, 30, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 30, 2
 #: Regions whose emptiest bins meet, and how many bins each of them sends.
 FAN, EMPTIEST = 4, 1024
 #: A sequence's id is its region, then its level in the tree (WHOLE: full pieces), then its number.
@@ -57,16 +57,17 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], room: li
             b, r = len(bins), capacity
             bins.append([])
             room.append(capacity)
-        bins[b].append(i)
+        bins[b] = [*bins[b], i]  # bins are shared between packings
         r -= n
         room[b] = r
         by_room[r].append(b)
         free |= 1 << r
 
 
-def fitness(room: list[int], capacity: int) -> tuple[int, float]:
+def fitness(packing: tuple, capacity: int) -> tuple[int, float]:
     """Fewer bins first; then fuller full bins, which leave better gaps."""
-    return -len(room), sum(((capacity - r) / capacity) ** 2 for r in room)
+    filled = (capacity - np.array(packing[1])) / capacity
+    return -len(filled), float(filled @ filled)
 
 
 def fill(sizes: list[int], items: list[int], capacity: int, skip: int = 0) -> tuple[list[list[int]], list[int]]:
@@ -101,18 +102,21 @@ def fill(sizes: list[int], items: list[int], capacity: int, skip: int = 0) -> tu
 
 def cross(sizes: list[int], a: tuple, b: tuple, capacity: int, rng: np.random.Generator) -> tuple:
     """Inject a run of b's fullest bins into a; best-fit what is displaced, into the bins there are or bin by bin."""
-    order = sorted(range(len(b[0])), key=lambda k: (b[1][k], k))
-    half = max(1, len(order) // 2)
-    start, width = int(rng.integers(half)), 1 + int(rng.integers(half))
-    chosen = order[start : start + width]
-    inside = {i for k in chosen for i in b[0][k]}
-    bins, room, displaced = [list(b[0][k]) for k in chosen], [b[1][k] for k in chosen], []
-    for items, r in zip(*a, strict=True):
-        if inside.isdisjoint(items):
-            bins.append(list(items))
-            room.append(r)
-        else:
-            displaced += [i for i in items if i not in inside]
+    if a is b:
+        bins, room, displaced = list(a[0]), list(a[1]), []
+    else:
+        order = np.argsort(np.array(b[1]), kind="stable")
+        half = max(1, len(order) // 2)
+        start, width = int(rng.integers(half)), 1 + int(rng.integers(half))
+        chosen = order[start : start + width].tolist()
+        inside = {i for k in chosen for i in b[0][k]}
+        bins, room, displaced = [b[0][k] for k in chosen], [b[1][k] for k in chosen], []
+        for items, r in zip(*a, strict=True):
+            if inside.isdisjoint(items):
+                bins.append(items)
+                room.append(r)
+            else:
+                displaced += [i for i in items if i not in inside]
     # some bins are opened too, the emptier ones rather, so that their pieces may find better places
     keys = rng.random(len(room)) * (np.array(room) + rng.choice([1, 8, 64]))
     worst = np.argsort(-keys, kind="stable")[: int(2 ** rng.uniform(1, 9))]
@@ -130,7 +134,7 @@ def cross(sizes: list[int], a: tuple, b: tuple, capacity: int, rng: np.random.Ge
 def evolve(sizes: list[int], elites: list[tuple], seed: int, capacity: int, population: int = POPULATION, generations: int = GENERATIONS, thorough: bool = True) -> tuple:
     """One island's epoch: from the elites and best-fit starts (``thorough``: one of them bin by bin) to its best packing."""
     rng = np.random.default_rng(seed)
-    pool = [(list(map(list, e[0])), list(e[1])) for e in elites]
+    pool = list(elites)
     falling = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     least = -(-sum(sizes) // capacity)
     if thorough:
@@ -140,18 +144,20 @@ def evolve(sizes: list[int], elites: list[tuple], seed: int, capacity: int, popu
         bins, room = [], []
         best_fit(sizes, order, bins, room, capacity)
         pool.append((bins, room))
-        order = [i for _, i in sorted((-(s + float(rng.normal(0, 0.05)) * capacity), i) for i, s in enumerate(sizes))]
+        order = np.argsort(-(np.array(sizes) + rng.normal(0, 0.05, len(sizes)) * capacity), kind="stable").tolist()
+    ranked = sorted(((fitness(x, capacity), x) for x in pool), key=lambda y: y[0], reverse=True)
     for _ in range(generations):
-        pool.sort(key=lambda x: fitness(x[1], capacity), reverse=True)
-        if len(pool[0][0]) <= least:
+        if len(ranked[0][1][0]) <= least:
             break
-        a, b = (int(x) for x in rng.integers(min(3, len(pool)), size=2))
-        child = cross(sizes, pool[a], pool[b], capacity, rng)
+        a, b = (int(x) for x in rng.integers(min(3, len(ranked)), size=2))
+        child = cross(sizes, ranked[a][1], ranked[b][1], capacity, rng)
+        fit = fitness(child, capacity)
         # a packing crossed with itself only has some bins repacked: the child takes its place
-        worse = a if a == b else len(pool) - 1
-        if fitness(child[1], capacity) >= fitness(pool[worse][1], capacity):
-            pool[worse] = child
-    return max(pool, key=lambda x: fitness(x[1], capacity))
+        worse = a if a == b else len(ranked) - 1
+        if fit >= ranked[worse][0]:
+            ranked[worse] = (fit, child)
+            ranked.sort(key=lambda y: y[0], reverse=True)
+    return ranked[0][1]
 
 
 def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
