@@ -6,7 +6,7 @@ radius ``bits`` on the grid of vectors finds every pair that can link; XOR and a
 verify each candidate exactly. More segments make a finer grid with more cells in reach, so
 their number follows from the number of fingerprints. Only one side of each pair of grid cells
 is generated, and every cell is split by what it and its neighbours hold, into blocks of at most
-about CELL by CELL fingerprints. A task emits a spanning forest of the links that it verified
+about CELL by AROUND fingerprints. A task emits a spanning forest of the links that it verified
 rather than the links, so a group of copies never becomes all its pairs. Components come from
 repeated contraction of that forest.
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ._base import arrow_schema, map_batches, materialize, read
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Fingerprints on either side of a block of the join.
-CELL = 4096
+#: Fingerprints of a cell, and of the cells around it, in a block of the join.
+CELL, AROUND = 16_384, 65_536
 #: Rows from which a fingerprint counts as hot, and how many hot ones there may be.
 HOT_ROWS, HOT_MOST = 100_000, 50_000
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -145,12 +145,12 @@ def reach(segments: int, bits: int) -> list[tuple[int, ...]]:
     return [s for s in steps if s > (0,) * segments]
 
 
-def copies(n: int, segments: int, bits: int = BITS, cell: int = CELL) -> float:
+def copies(n: int, segments: int, bits: int = BITS, cell: int = CELL, around: int = AROUND) -> float:
     """Expected rows of the join for each of ``n`` random fingerprints."""
     width = 64 // segments
     share = (math.comb(2 * width, width) / 4**width) ** segments  # of all fingerprints, in the cell of a random one
     steps = len(reach(segments, bits))
-    return 1 + steps * (1 + n * share / cell) + steps * n * share / cell
+    return 1 + steps * (1 + n * share / cell) + steps * n * share / around
 
 
 def segments_for(n: int, bits: int = BITS, cell: int = CELL) -> int:
@@ -158,7 +158,7 @@ def segments_for(n: int, bits: int = BITS, cell: int = CELL) -> int:
     return min((2, 4, 8), key=lambda k: copies(n, k, bits, cell))
 
 
-def links(distinct: DataFrame, *, bits: int = BITS, cell: int = CELL, segments: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, *, bits: int = BITS, cell: int = CELL, around: int = AROUND, segments: int | None = None) -> DataFrame:
     """Forest edges (a, b) between linking fingerprints of ``distinct`` (column fp, no repeats)."""
     segments = segments or segments_for(distinct.count(), bits, cell)
     width = 64 // segments
@@ -172,9 +172,9 @@ def links(distinct: DataFrame, *, bits: int = BITS, cell: int = CELL, segments:
     # What the cells hold from which a step leads here; steps over the edge of the grid lead to names that no cell has.
     later = F.explode(F.array(*[F.lit(d).cast("long") for d in ahead])).alias("step")
     into = sizes.select("at", "n", later).select((F.col("at") - F.col("step")).alias("at"), "n")
-    around = into.join(sizes.select("at"), "at", "left_semi").groupBy("at").agg(F.sum("n").alias("around"))
-    parts = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / cell).cast("int")
-    cells = materialize(sizes.join(around, "at", "left").select("at", parts("n").alias("rows"), parts("around").alias("cols")), "cells")
+    ahead_of = into.join(sizes.select("at"), "at", "left_semi").groupBy("at").agg(F.sum("n").alias("ahead"))
+    parts = lambda c, most: F.ceil(F.coalesce(F.col(c), F.lit(0)) / most).cast("int")
+    cells = materialize(sizes.join(ahead_of, "at", "left").select("at", parts("n", cell).alias("rows"), parts("ahead", around).alias("cols")), "cells")
     # The grid of two or four segments has at most 17**4 cells, however many fingerprints there are.
     few = F.broadcast if segments <= 4 else lambda df: df
     of = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n).cast("int")
@@ -217,10 +217,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.toDF("node", "root") if roots is None else roots
 
 
-def group(docs: DataFrame, *, bits: int = BITS, cell: int = CELL, segments: int | None = None) -> DataFrame:
+def group(docs: DataFrame, *, bits: int = BITS, cell: int = CELL, around: int = AROUND, segments: int | None = None) -> DataFrame:
     """docs (doc_id, fp and others) with component_id, the least doc_id, and component_fp, one fingerprint of the component."""
     least = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
-    roots = components(links(least.select("fp"), bits=bits, cell=cell, segments=segments)).withColumnRenamed("node", "fp")
+    roots = components(links(least.select("fp"), bits=bits, cell=cell, around=around, segments=segments)).withColumnRenamed("node", "fp")
     linked = least.join(roots, "fp")
     named = materialize(linked.groupBy("root").agg(F.min("least").alias("component")), "components")
     of_fp = least.select("fp", "least", "n").join(linked.join(named, "root").select("fp", "component", "root"), "fp", "left")

@@ -189,7 +189,7 @@ def test_simhash_join_finds_every_link(spark, cell, segments):
             fps.add(fp)
     fps = sorted(fps)
     df = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(fps)], "doc_id long, fp long")
-    same(simhash.group(df, cell=cell, segments=segments).select("doc_id", "component_id"), list(enumerate(plain_components(fps, 4))))
+    same(simhash.group(df, cell=cell, around=2 * cell, segments=segments).select("doc_id", "component_id"), list(enumerate(plain_components(fps, 4))))
 
 
 def test_reach_has_one_of_every_pair_of_cells():
