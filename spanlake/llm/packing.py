@@ -31,7 +31,7 @@ from .bpe import Encoder, default_tokenizer
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a region: bounds what one task holds.
 REGION = 16_384
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 30, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 20, 2
 #: Regions whose emptiest bins meet, and how many bins each of them sends.
 FAN, EMPTIEST = 4, 1024
 #: A sequence's id is its region, then its level in the tree (WHOLE: full pieces), then its number.
