@@ -51,7 +51,8 @@ def windows(texts: list[bytes], window: int = WINDOW, context: int = CONTEXT) ->
     k = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = np.arange(len(of)) * step + of_rank(of) * 2 * context
     place = np.arange(window)[:, None]
-    data = np.frombuffer(padded, np.uint8)[starts + place] if len(of) else np.zeros((window, 0), np.uint8)
+    whole = np.frombuffer(padded, np.uint8)
+    data = np.lib.stride_tricks.sliding_window_view(whole, window)[starts].T if len(of) else np.zeros((window, 0), np.uint8)
     left = np.array([len(t) for t in texts], np.int64)[of] - k * step + context
     return data, (place >= context) & (place < window - context) & (place < left), of
 
@@ -196,7 +197,7 @@ def pooled(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     sums = np.zeros((len(texts), len(net.languages)))
     for a in range(0, len(of), AT_ONCE):
         some = slice(a, a + AT_ONCE)
-        prob = np.einsum("tnc,tn->nc", net.label(data[:, some]), labelled[:, some].astype(np.float32))
+        prob = np.einsum("tnc,tn->nc", net.label(np.ascontiguousarray(data[:, some])), labelled[:, some].astype(np.float32))
         np.add.at(sums, of[some], prob)
     out = []
     for total, t in zip(sums, bytes_of, strict=True):

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,17 +138,12 @@ class Examples:
 
         return self._once("index", make)
 
-    def of(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """The vector of an example."""
-
-        def make():
-            term, weight = self._postings()
-            order = np.argsort(self.example, kind="stable")
-            return term[order], weight[order], np.searchsorted(self.example[order], np.arange(self.n + 1))
-
-        term, weight, at = self._once("by_example", make)
-        here = slice(at[number], at[number + 1])
-        return term[here], weight[here]
+    def vectors(self) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+        """The vectors of the examples, by number."""
+        term, weight = self._postings()
+        order = np.argsort(self.example, kind="stable")
+        term, weight, at = term[order], weight[order], np.searchsorted(self.example[order], np.arange(self.n + 1))
+        return lambda i: (term[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and their weights, of length one."""
@@ -285,11 +280,14 @@ def left_out_votes(spark: SparkSession, model: Model) -> list[float]:
     """Each example's vote by the others."""
 
     def make():
+        known = model.shared.value
+        vector = known.vectors()
+
         def work(cols):
-            votes, known = [], model.shared.value
+            votes = []
             for a in range(0, len(cols["id"]), AT_ONCE):
                 some = cols["id"][a : a + AT_ONCE]
-                votes += [model.vote(*x) for x in known.index.nearest([known.of(i) for i in some], model.k, some)]
+                votes += [model.vote(*x) for x in known.index.nearest([vector(i) for i in some], model.k, some)]
             return {"id": cols["id"], "vote": votes}
 
         return work
