@@ -68,8 +68,9 @@ class BlockMaxIndex:
         self.rows[example[some], self.column[term[some]]] = weight[some]
         self.most = self.rows.reshape(self.blocks, block, -1).max(axis=1)
         order = np.flatnonzero(~some)
-        order = order[np.lexsort((example[order], term[order]))]
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float64)
+        if (np.diff(term[order]) < 0).any():
+            order = order[np.argsort(term[order], kind="stable")]
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
         self.starts = np.concatenate([[0], np.cumsum(np.where(often, 0, held))])
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -125,10 +126,14 @@ class Examples:
         return self._made[name]
 
     def _postings(self) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of the postings, the examples' vectors of length one."""
-        term = np.repeat(np.arange(len(self.held)), self.held)
-        raw = (1 + np.log(self.count)) * self.weights[term]
-        return term, raw / np.sqrt(np.bincount(self.example, raw * raw, self.n))[self.example]
+        """Terms and weights of the postings, the examples' vectors of length one; in four bytes, as workers are small."""
+        term = np.repeat(np.arange(len(self.held), dtype=np.int32), self.held)
+        weight = np.log(self.count, dtype=np.float32)
+        weight += 1
+        weight *= self.weights.astype(np.float32)[term]
+        length = np.sqrt(np.bincount(self.example, weight * weight, self.n)).astype(np.float32)
+        weight /= length[self.example]
+        return term, weight
 
     @property
     def index(self) -> BlockMaxIndex:
@@ -141,8 +146,8 @@ class Examples:
     def vectors(self) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
         """The vectors of the examples, by number."""
         term, weight = self._postings()
-        order = np.argsort(self.example, kind="stable")
-        term, weight, at = term[order], weight[order], np.searchsorted(self.example[order], np.arange(self.n + 1))
+        order = np.argsort(self.example, kind="stable").astype(np.int32)
+        term, weight, at = term[order], weight[order], np.concatenate([[0], np.cumsum(np.bincount(self.example, minlength=self.n))])
         return lambda i: (term[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
