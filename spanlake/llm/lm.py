@@ -37,7 +37,7 @@ CHUNK, FAN = 4096, 64
 #: Words and tokens at which a chunk of documents ends.
 COUNTED, CHUNK_TOKENS = 150_000, 1_000_000
 #: Positions scored at once, and those trained on at once within a batch.
-AT_ONCE, TILE = 8192, 2048
+AT_ONCE, TILE = 8192, 4096
 _KEEP = bytes(b | 32 if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
@@ -174,19 +174,39 @@ def by_class(klass: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(klass)], strict=True))
 
 
-def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+class Scratch:
+    """Arrays that are used again from batch to batch, as fresh ones cost page faults."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple, dtype) -> np.ndarray:
+        """An array of that name with anything in it."""
+        size, had = math.prod(shape), self.held.get(name)
+        if had is None or had.size < size or had.dtype != dtype:
+            had = self.held[name] = np.empty(size, dtype)
+        return had[:size].reshape(shape)
+
+
+def with_biases(weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """One table of both, for rows that end in a one."""
+    return np.concatenate([weights, biases[..., None, :]], axis=-2)
+
+
+def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray, scratch: Scratch | None = None) -> np.ndarray:
     """log P(class | window) + log P(word | class, window) of each target."""
+    scratch = scratch or Scratch()
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
-    h, klass, inner = h[order], target[order] // WIDTH, target[order] % WIDTH
-    some = np.arange(len(h))
-    x = h @ p["klass"]
-    x += p["klass_b"]
-    at = np.clip(x[some, klass], -MOST_LOGIT, MOST_LOGIT)
+    klass, inner = target[order] // WIDTH, target[order] % WIDTH
+    ended = scratch("ended", (len(h), HIDDEN + 1), h.dtype)
+    ended[:, :HIDDEN], ended[:, HIDDEN] = h[order], 1
+    word, starts = with_biases(p["word"], p["word_b"]), np.arange(0, len(h) * WIDTH, WIDTH)
+    x = np.dot(ended, with_biases(p["klass"], p["klass_b"]), out=scratch("x", (len(h), WIDTH), h.dtype))
+    at = np.clip(x.reshape(-1)[starts + klass], -MOST_LOGIT, MOST_LOGIT)
     logs = at - np.log(_normalise(x))
     for c, a, b in by_class(klass):
-        np.matmul(h[a:b], p["word"][c], out=x[a:b])
-        x[a:b] += p["word_b"][c]
-    at = np.clip(x[some, inner], -MOST_LOGIT, MOST_LOGIT)
+        np.dot(ended[a:b], word[c], out=x[a:b])
+    at = np.clip(x.reshape(-1)[starts + inner], -MOST_LOGIT, MOST_LOGIT)
     logs += at - np.log(_normalise(x))
     out = np.empty(len(h), np.float64)
     out[order] = logs
@@ -195,54 +215,63 @@ def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _loss_and_slopes(x: np.ndarray, at: np.ndarray, n: int) -> float:
     """Turns logits into the gradients of the loss's mean over ``n`` rows, in place; returns the summed loss."""
-    some = np.arange(len(x))
-    loss = -float(np.clip(x[some, at], -MOST_LOGIT, MOST_LOGIT).sum(dtype=np.float64))
+    flat, at = x.reshape(-1), at + np.arange(0, x.size, x.shape[1])
+    loss = -float(np.clip(flat[at], -MOST_LOGIT, MOST_LOGIT).sum(dtype=np.float64))
     total = _normalise(x)
     loss += float(np.log(total).sum(dtype=np.float64))
     x *= (1 / (total * n))[:, None]
-    x[some, at] -= x.dtype.type(1 / n)
+    flat[at] -= x.dtype.type(1 / n)
     return loss
 
 
-def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray) -> float:
-    """Adds the mean loss's gradients to ``g``; returns the loss. Rows are taken in tiles that stay in a core's cache."""
+def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray, scratch: Scratch | None = None) -> float:
+    """Adds the mean loss's gradients to ``g``; returns the loss. Rows are taken in tiles."""
     n, loss = len(target), 0.0
+    scratch = scratch or Scratch()
+    word, slopes = with_biases(p["word"], p["word_b"]), scratch("word", (WIDTH, HIDDEN + 1, WIDTH), p["word"].dtype)
+    slopes[...] = 0
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
     for a in range(0, n, TILE):
         rows = order[a : a + TILE]
-        loss += _tile(p, g, context[rows], target[rows], n)
+        loss += _tile(p, g, word, slopes, context[rows], target[rows], n, scratch)
+    g["word"] += slopes[:, :HIDDEN]
+    g["word_b"] += slopes[:, HIDDEN]
     return loss / n
 
 
-def _tile(p: dict, g: dict, context: np.ndarray, target: np.ndarray, n: int) -> float:
+def _tile(p: dict, g: dict, word: np.ndarray, word_slopes: np.ndarray, context: np.ndarray, target: np.ndarray, n: int, scratch: Scratch) -> float:
     """The part of rows that are sorted by class, of ``n`` in all."""
+    m, kind = len(target), word.dtype
     klass, inner = target // WIDTH, target % WIDTH
-    flat = p["embed"].take(context, axis=0, mode="clip").reshape(len(target), -1)
-    h = flat @ p["hide"]
+    flat = p["embed"].take(context, axis=0, mode="clip", out=scratch("flat", (*context.shape, EMBED), kind)).reshape(m, -1)
+    h = np.dot(flat, p["hide"], out=scratch("h", (m, HIDDEN), kind))
     h += p["hide_b"]
     np.tanh(h, out=h)
-    d = h @ p["klass"]
+    ended = scratch("ended", (m, HIDDEN + 1), kind)
+    ended[:, :HIDDEN], ended[:, HIDDEN] = h, 1
+    d = np.dot(h, p["klass"], out=scratch("d", (m, WIDTH), kind))
     d += p["klass_b"]
     loss = _loss_and_slopes(d, klass, n)
-    ones = np.ones(len(target), h.dtype)
-    g["klass"] += h.T @ d
-    g["klass_b"] += ones @ d
-    dh = d @ p["klass"].T
+    both = np.dot(ended.T, d)
+    g["klass"] += both[:HIDDEN]
+    g["klass_b"] += both[HIDDEN]
+    dh = np.dot(d, p["klass"].T, out=scratch("dh", (m, HIDDEN), kind))
     spans = by_class(klass)
     for c, a, b in spans:
-        np.matmul(h[a:b], p["word"][c], out=d[a:b])
-        d[a:b] += p["word_b"][c]
+        np.dot(ended[a:b], word[c], out=d[a:b])
     loss += _loss_and_slopes(d, inner, n)
+    more, part = scratch("more", (m, HIDDEN), kind), scratch("part", (HIDDEN + 1, WIDTH), kind)
     for c, a, b in spans:
         x = d[a:b]
-        g["word"][c] += h[a:b].T @ x
-        g["word_b"][c] += ones[a:b] @ x
-        dh[a:b] += x @ p["word"][c].T
+        word_slopes[c] += np.dot(ended[a:b].T, x, out=part)
+        np.dot(x, p["word"][c].T, out=more[a:b])
+    dh += more
     h *= h
     dh *= np.subtract(1, h, out=h)
-    g["hide"] += flat.T @ dh
-    g["hide_b"] += ones @ dh
-    slopes, at = np.ascontiguousarray((dh @ p["hide"].T).reshape(-1, EMBED).T), context.ravel()
+    g["hide"] += np.dot(flat.T, dh)
+    g["hide_b"] += np.ones(m, kind) @ dh
+    slopes, at = scratch("slopes", (EMBED, context.size), kind), context.reshape(-1)
+    np.copyto(slopes, np.dot(dh, p["hide"].T, out=flat).reshape(-1, EMBED).T)
     for j in range(EMBED):
         g["embed"][:, j] += np.bincount(at, slopes[j], TOKENS + 1)
     return loss
@@ -296,14 +325,14 @@ def train_round(spark: SparkSession, table: DataFrame, vocab: dict[bytes, int],
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, vocab = shared.value[0].copy(), shared.value[1]
         update, seen = Adam(flat), 0
-        p, g = views(flat), views(update.grad)
+        p, g, scratch = views(flat), views(update.grad), Scratch()
         for batch in batches:
             for chunk_words, ids, lengths in zip(*(batch.column(i) for i in range(3)), strict=True):
                 tokens = token_of(vocab, chunk_words.as_py())[np.frombuffer(ids.as_buffer(), "<u4")]
                 of = Windows(tokens, lengths.values.to_numpy())
                 order = np.random.default_rng(seed + update.step).permutation(len(tokens))
                 for a in range(0, len(order), BATCH):
-                    gradients(p, g, *of(order[a : a + BATCH]))
+                    gradients(p, g, *of(order[a : a + BATCH]), scratch)
                     update()
                 seen += len(tokens)
         if seen:
@@ -342,6 +371,7 @@ def score_chunks(table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
         p = views(weights)
         # what each word adds to the hidden layer in each place of the window
         adds = [np.ascontiguousarray(p["embed"] @ p["hide"][k * EMBED : (k + 1) * EMBED]) for k in range(2 * SIDE)]
+        scratch = Scratch()
         of_class = np.concatenate([np.zeros(COMMON), -np.log(np.maximum(classes, 1))])
         for batch in batches:
             for chunk, chunk_words, doc_ids, lengths, ids in zip(*batch.columns, strict=True):
@@ -350,10 +380,11 @@ def score_chunks(table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
                 of, logs = Windows(tokens, n), np.empty(len(ids))
                 for a in range(0, len(ids), AT_ONCE):
                     context, target = of(slice(a, a + AT_ONCE))
-                    h = p["hide_b"] + adds[0][context[:, 0]]
-                    for k in range(1, 2 * SIDE):
-                        h += adds[k][context[:, k]]
-                    logs[a : a + AT_ONCE] = log_probabilities(p, np.tanh(h, out=h), target) + of_class[target]
+                    h, more = (scratch(k, (len(target), HIDDEN), weights.dtype) for k in ("h", "more"))
+                    h[...] = p["hide_b"]
+                    for k in range(2 * SIDE):
+                        h += adds[k].take(context[:, k], axis=0, mode="clip", out=more)
+                    logs[a : a + AT_ONCE] = log_probabilities(p, np.tanh(h, out=h), target, scratch) + of_class[target]
                 rare = tokens >= COMMON
                 made = [chunk.as_py()], [doc_ids.values], [n], [per_document(logs, n)], [per_document(rare, n).astype(np.int64)], [ids[rare].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
