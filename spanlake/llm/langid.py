@@ -29,8 +29,8 @@ DOCUMENTS, EPOCHS, BATCH = 1024, 2, 64
 EMBED, HIDDEN, SEED, RATE = 12, 16, 11, 0.01
 #: Bytes of a window, and how many of them on either side are only read.
 WINDOW, CONTEXT = 256, 16
-#: Windows that are labelled at once.
-AT_ONCE = 512
+#: Windows that are labelled at once, and the most labels of them (windows by languages).
+AT_ONCE, LABELS_AT_ONCE = 1024, 8192
 UNKNOWN, LEAST_SCORE = "und", 0.35
 _KEEP = bytes(b if b >= 128 or chr(b) in string.ascii_lowercase else 32 for b in range(256))
 
@@ -76,47 +76,60 @@ class Network:
     def _states(self, x: np.ndarray, d: str, keep: dict | None = None) -> np.ndarray:
         """Hidden states (time, batch, hidden) of one direction, in order of place."""
         h_n, (steps, n) = self.hidden, x.shape
-        # A gate is (1 + tanh(a / 2)) / 2: the inner half goes into the tables, the outer one of the first gate too.
+        # A gate is 1 / (1 + exp(-a)) and the new state 2 / (1 + exp(-2 a)) - 1, an exponential being cheaper than a
+        # tangent: the factors of a go into the tables. Every array is whole, as rows of a part of one are slow.
+        parts = [(slice(k * h_n, (k + 1) * h_n), factor) for k, factor in enumerate((-1, -1, -2))]
         table = self.p["embed"] @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]
-        gates_of, new_of = table[:, : 2 * h_n] * 0.5, np.ascontiguousarray(table[:, 2 * h_n :])
-        rec_gates, rec_new = self.p[f"rec_{d}"][:, : 2 * h_n] * 0.5, self.p[f"rec_{d}"][:, 2 * h_n :] * 0.5
         kind = table.dtype
+        of_r, of_z, of_new = (np.ascontiguousarray(table[:, k]) * kind.type(factor) for k, factor in parts)
+        rec_r, rec_z, rec_new = (np.ascontiguousarray(self.p[f"rec_{d}"][:, k]) * kind.type(factor) for k, factor in parts)
         out, h = np.empty((steps, n, h_n), kind), np.zeros((n, h_n), kind)
-        gates, through, new, back = (np.empty((n, w), kind) for w in (2 * h_n, 2 * h_n, h_n, h_n))
-        r, z = gates[:, :h_n], gates[:, h_n:]
+        r, z, new, through = (np.empty((n, h_n), kind) for _ in range(4))
         if keep is not None:
-            keep |= {k: np.empty((steps, n, w), kind) for k, w in (("gates", 2 * h_n), ("new", h_n), ("u", h_n), ("before", h_n))}
-        # buffers are reused, as most of the time goes into moving memory
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(gates_of, x[t], axis=0, out=gates, mode="clip")
-            gates += np.matmul(h, rec_gates, out=through)
-            np.tanh(gates, out=gates)
-            gates += 1
-            np.matmul(h, rec_new, out=back)
-            if keep is not None:
-                keep["before"][t] = h
-                np.multiply(gates, 0.5, out=keep["gates"][t])
-                np.multiply(back, 2, out=keep["u"][t])
-            back *= r
-            np.take(new_of, x[t], axis=0, out=new, mode="clip")
-            new += back
-            np.tanh(new, out=new)
-            if keep is not None:
-                keep["new"][t] = new
-            h = np.subtract(h, new, out=out[t])
-            h *= z
-            h *= 0.5
-            h += new
+            keep |= {k: np.empty((steps, n, h_n), kind) for k in ("r", "z", "new", "u", "before")}
+        # buffers are reused, as most of the time goes into moving memory; an infinite exponential makes a gate 0
+        with np.errstate(over="ignore"):
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                at = x[t].astype(np.intp)
+                for gate, of, rec in ((r, of_r, rec_r), (z, of_z, rec_z)):
+                    of.take(at, 0, gate, "clip")
+                    gate += np.matmul(h, rec, out=through)
+                    np.exp(gate, out=gate)
+                    gate += 1
+                np.matmul(h, rec_new, out=through)
+                if keep is not None:
+                    keep["before"][t] = h
+                    np.divide(1, r, out=keep["r"][t])
+                    np.divide(1, z, out=keep["z"][t])
+                    np.multiply(through, -0.5, out=keep["u"][t])
+                through /= r
+                of_new.take(at, 0, new, "clip")
+                new += through
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                if keep is not None:
+                    keep["new"][t] = new
+                h = np.subtract(h, new, out=out[t])
+                h /= z
+                h += new
         return out
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (time, batch, language) of every byte position."""
+    def _by_language(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities (language, time, batch) of every byte position; languages first, as sums along a short last axis are slow."""
         out, h_n = self.p["out"], self.hidden
-        logits = self._states(x, "f") @ out[:h_n] + self._states(x, "b") @ out[h_n:] + self.p["out_b"]
-        logits -= logits.max(axis=2, keepdims=True)
+        logits = out[:h_n].T @ self._states(x, "f").reshape(-1, h_n).T
+        logits += out[h_n:].T @ self._states(x, "b").reshape(-1, h_n).T
+        logits += self.p["out_b"][:, None]
+        logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        return logits
+        logits /= logits.sum(axis=0)
+        return logits.reshape(-1, *x.shape)
+
+    def label(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities (time, batch, language) of every byte position."""
+        return np.moveaxis(self._by_language(x), 0, 2)
 
     def gradients(self, x: np.ndarray, labelled: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over the labelled positions, and its gradients by backpropagation through time."""
@@ -143,7 +156,7 @@ class Network:
             into, through = (np.empty((steps, n, 3 * h_n), up.dtype) for _ in range(2))
             carry = np.zeros((n, h_n), up.dtype)
             for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
-                r, z, new = held["gates"][t, :, :h_n], held["gates"][t, :, h_n:], held["new"][t]
+                r, z, new = held["r"][t], held["z"][t], held["new"][t]
                 dh = up[t, :, k * h_n : (k + 1) * h_n] + carry
                 dn = into[t, :, 2 * h_n :]
                 np.multiply(dh * (1 - z), 1 - new * new, out=dn)
@@ -195,9 +208,10 @@ def pooled(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     bytes_of = [spelled(t) for t in texts]
     data, labelled, of = windows(bytes_of)
     sums = np.zeros((len(texts), len(net.languages)))
-    for a in range(0, len(of), AT_ONCE):
-        some = slice(a, a + AT_ONCE)
-        prob = np.einsum("tnc,tn->nc", net.label(np.ascontiguousarray(data[:, some])), labelled[:, some].astype(np.float32))
+    at_once = max(1, min(AT_ONCE, LABELS_AT_ONCE // len(net.languages)))
+    for a in range(0, len(of), at_once):
+        some = slice(a, a + at_once)
+        prob = np.einsum("ctn,tn->nc", net._by_language(np.ascontiguousarray(data[:, some])), labelled[:, some].astype(np.float32))
         np.add.at(sums, of[some], prob)
     out = []
     for total, t in zip(sums, bytes_of, strict=True):
