@@ -36,8 +36,8 @@ ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.01, 5
 CHUNK, FAN = 4096, 64
 #: Words and tokens at which a chunk of documents ends.
 COUNTED, CHUNK_TOKENS = 150_000, 1_000_000
-#: Positions scored at once, and those trained on at once within a batch.
-AT_ONCE, TILE = 8192, 2048
+#: Positions scored at once.
+AT_ONCE = 8192
 _KEEP = bytes(b | 32 if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
@@ -155,6 +155,8 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
 #: Logits are held within these bounds, so that their exponentials neither overflow nor vanish.
 MOST_LOGIT = 40.0
 _ONES = np.ones(WIDTH, np.float32)
+#: Places of each token's pairs of neighbours among all weights of the embedding.
+_PAIRS = np.arange((TOKENS + 1) * EMBED // 2).reshape(TOKENS + 1, -1)
 
 
 def _normalise(x: np.ndarray) -> np.ndarray:
@@ -195,57 +197,49 @@ def log_probabilities(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _loss_and_slopes(x: np.ndarray, at: np.ndarray, n: int) -> float:
     """Turns logits into the gradients of the loss's mean over ``n`` rows, in place; returns the summed loss."""
-    some = np.arange(len(x))
-    loss = -float(np.clip(x[some, at], -MOST_LOGIT, MOST_LOGIT).sum(dtype=np.float64))
-    total = _normalise(x)
-    loss += float(np.log(total).sum(dtype=np.float64))
-    x *= (1 / (total * n))[:, None]
-    x[some, at] -= x.dtype.type(1 / n)
-    return loss
+    x *= (1 / (_normalise(x) * n))[:, None]
+    at = at + np.arange(0, x.size, x.shape[1])
+    x = x.reshape(-1)
+    hit = x.take(at, mode="clip")
+    x[at] = hit - x.dtype.type(1 / n)
+    return -float(np.log(hit).sum(dtype=np.float64)) - len(hit) * math.log(n)
 
 
 def gradients(p: dict, g: dict, context: np.ndarray, target: np.ndarray) -> float:
-    """Adds the mean loss's gradients to ``g``; returns the loss. Rows are taken in tiles that stay in a core's cache."""
-    n, loss = len(target), 0.0
+    """Adds the mean loss's gradients to ``g``; returns the loss. Rows are taken together, sorted by class."""
+    n = len(target)
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
-    for a in range(0, n, TILE):
-        rows = order[a : a + TILE]
-        loss += _tile(p, g, context[rows], target[rows], n)
-    return loss / n
-
-
-def _tile(p: dict, g: dict, context: np.ndarray, target: np.ndarray, n: int) -> float:
-    """The part of rows that are sorted by class, of ``n`` in all."""
+    context, target = context.take(order, axis=0), target.take(order)
     klass, inner = target // WIDTH, target % WIDTH
-    flat = p["embed"].take(context, axis=0, mode="clip").reshape(len(target), -1)
+    flat = p["embed"].take(context, axis=0, mode="clip").reshape(n, -1)
     h = flat @ p["hide"]
     h += p["hide_b"]
     np.tanh(h, out=h)
     d = h @ p["klass"]
     d += p["klass_b"]
     loss = _loss_and_slopes(d, klass, n)
-    ones = np.ones(len(target), h.dtype)
+    ones = np.ones(n, h.dtype)
     g["klass"] += h.T @ d
     g["klass_b"] += ones @ d
     dh = d @ p["klass"].T
-    spans = by_class(klass)
-    for c, a, b in spans:
-        np.matmul(h[a:b], p["word"][c], out=d[a:b])
-        d[a:b] += p["word_b"][c]
+    spans = [(p["word"][c], p["word_b"][c], g["word"][c], g["word_b"][c], h[a:b], d[a:b], dh[a:b], ones[a:b]) for c, a, b in by_class(klass)]
+    for w, w_b, _, _, some, x, _, _ in spans:
+        np.matmul(some, w, out=x)
+        x += w_b
     loss += _loss_and_slopes(d, inner, n)
-    for c, a, b in spans:
-        x = d[a:b]
-        g["word"][c] += h[a:b].T @ x
-        g["word_b"][c] += ones[a:b] @ x
-        dh[a:b] += x @ p["word"][c].T
+    held = np.empty((HIDDEN, WIDTH), h.dtype)
+    for w, _, g_w, g_b, some, x, up, one in spans:
+        g_w += np.matmul(some.T, x, out=held)
+        g_b += one @ x
+        up += x @ w.T
     h *= h
     dh *= np.subtract(1, h, out=h)
     g["hide"] += flat.T @ dh
     g["hide_b"] += ones @ dh
-    slopes, at = np.ascontiguousarray((dh @ p["hide"].T).reshape(-1, EMBED).T), context.ravel()
-    for j in range(EMBED):
-        g["embed"][:, j] += np.bincount(at, slopes[j], TOKENS + 1)
-    return loss
+    # two neighbours are added as one complex number, at half the places
+    pair = np.complex64 if h.dtype == np.float32 else np.complex128
+    np.add.at(g["embed"].reshape(-1).view(pair), _PAIRS.take(context.ravel(), axis=0).reshape(-1), (dh @ p["hide"].T).reshape(-1).view(pair))
+    return loss / n
 
 
 class Adam:
@@ -342,6 +336,7 @@ def score_chunks(table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
         p = views(weights)
         # what each word adds to the hidden layer in each place of the window
         adds = [np.ascontiguousarray(p["embed"] @ p["hide"][k * EMBED : (k + 1) * EMBED]) for k in range(2 * SIDE)]
+        adds[0] += p["hide_b"]
         of_class = np.concatenate([np.zeros(COMMON), -np.log(np.maximum(classes, 1))])
         for batch in batches:
             for chunk, chunk_words, doc_ids, lengths, ids in zip(*batch.columns, strict=True):
@@ -350,9 +345,11 @@ def score_chunks(table: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
                 of, logs = Windows(tokens, n), np.empty(len(ids))
                 for a in range(0, len(ids), AT_ONCE):
                     context, target = of(slice(a, a + AT_ONCE))
-                    h = p["hide_b"] + adds[0][context[:, 0]]
+                    places = np.ascontiguousarray(context.T)
+                    h = adds[0].take(places[0], axis=0, mode="clip")
+                    more = np.empty_like(h)
                     for k in range(1, 2 * SIDE):
-                        h += adds[k][context[:, k]]
+                        h += adds[k].take(places[k], axis=0, out=more, mode="clip")
                     logs[a : a + AT_ONCE] = log_probabilities(p, np.tanh(h, out=h), target) + of_class[target]
                 rare = tokens >= COMMON
                 made = [chunk.as_py()], [doc_ids.values], [n], [per_document(logs, n)], [per_document(rare, n).astype(np.int64)], [ids[rare].tobytes()]

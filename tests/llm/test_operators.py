@@ -607,6 +607,24 @@ def test_language_model_probabilities_and_gradients():
         assert math.isclose((up - down) / 2e-5, g[name][at], rel_tol=1e-3, abs_tol=1e-8), name
 
 
+def test_slopes_of_repeated_words_add_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    flat = lm.initial()
+    context, target = np.where(rng.random((3000, 4)) < 0.1, lm.EDGE, rng.integers(0, 40, (3000, 4))), rng.integers(0, lm.TOKENS, 3000)
+    p, one = {k: v.astype(np.float64) for k, v in lm.views(flat).items()}, lm.views(np.zeros(len(flat)))
+    want, loss = lm.views(np.zeros(len(flat))), 0.0
+    for a in range(0, 3000, 100):
+        loss += lm.gradients(p, one, context[a : a + 100], target[a : a + 100]) / 30
+    for k in want:
+        want[k] += one[k] / 30
+    # a batch is one tile, and its slopes meet in place, not in counts of a column at a time
+    monkeypatch.setattr(np, "bincount", None)
+    got = lm.views(np.zeros_like(flat))
+    assert math.isclose(lm.gradients(lm.views(flat), got, context, target), loss, rel_tol=1e-5)
+    for k in want:
+        assert np.allclose(got[k], want[k], rtol=1e-3, atol=1e-6), k
+
+
 def test_viterbi_finds_the_best_path():
     hmm = chat.Hmm([])
     features = [f for _, f in chat.observe("User: hi\nmore\n\nAI: yes\n\nno marker here?\nx")]
