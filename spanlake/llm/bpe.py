@@ -1,22 +1,25 @@
-"""Byte-level BPE ids at speed: text is cut at lone spaces and each piece is encoded once.
-
-Pre-tokenisation never joins characters across a single space that stands between two
-non-space characters, so the pieces around it encode independently and can be remembered.
-Texts with longer white-space runs at a space, or with an added token's text, go through the
-``tokenizers`` model whole. Pieces are encoded from the model's own vocabulary by rank
-(the order of its merges is the order of its ids, checked on loading); where that order
-does not hold, the model itself encodes them too.
+"""Byte-level BPE ids at speed: whole texts are encoded from the vocabulary by rank.
+
+The order of the model's merges is the order of its ids (checked on loading; where that does not
+hold, the ``tokenizers`` model itself encodes). Pre-tokenisation by a pattern that looks ahead is slow,
+and it looks ahead only to leave the last of a run of white space to what follows. So texts are
+cut there first, and the rest of the pattern needs no look ahead. Nothing is remembered between
+texts, so the time does not depend on how many words a corpus has. Texts with an added token's
+text go through the model whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
-#: Pieces remembered per worker; later pieces are encoded each time they occur.
-REMEMBERED = 250_000
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: White space as patterns of the tokenizer have it: in a class of characters, and but for blanks and line ends.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = [c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c) and c not in " \n"]
+_CUT = re.compile(f"(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])")
 
 
 def default_tokenizer() -> str:
@@ -62,7 +65,6 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.ranked = _by_rank(path, set(self.added))
-        self.known = _Known(self)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -74,48 +76,19 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, text: str) -> bytes:
-        return array("I", self.ranked.encode_ordinary(text)).tobytes() if self.ranked else self._whole([text])[0]
+    def _text(self, text: str) -> bytes:
+        encode = self.ranked.encode_ordinary
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(c in text for c in _ODD):
+            return array("I", [i for x in _CUT.split(text) for i in encode(x)]).tobytes()
+        return array("I", encode(text)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, whole = [b""] * len(texts), []
-        of = self.known.__getitem__
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            first, *rest = text.split(" ")
-            if not first or first[-1].isspace() or any(a in text for a in self.added):
-                whole.append(i)
-                continue
-            try:
-                out[i] = self._piece(first) + b"".join(map(of, rest))
-            except _Run:
+            if self.ranked is None or any(a in text for a in self.added):
                 whole.append(i)
+            else:
+                out[i] = self._text(text)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
-
-
-class _Run(Exception):
-    """White space at a piece's edge makes it part of a longer run."""
-
-
-class _Known(dict):
-    """Ids of " " + word, up to REMEMBERED words.
-
-    A sign after a letter is a token run of its own, so "word," is "word" and ",".
-    """
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.piece, self.signs = encoder._piece, {c: encoder._piece(c) for c in ".,;:!?"}
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Run
-        if word[-1] in self.signs and word[-2:-1].isalpha():
-            return self[word[:-1]] + self.signs[word[-1]]
-        ids = self.piece(" " + word)
-        if len(self) < REMEMBERED:
-            self[word] = ids
-        return ids

@@ -64,6 +64,18 @@ def test_encoder_equals_the_tokenizer(rows):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_takes_all_but_added_tokens_by_rank(monkeypatch):
+    encoder = Encoder.of(default_tokenizer())
+    rng = random.Random(2)
+    signs = [*"aaZ\u00e91\u0663,'.s\u65e5\t\n\n  \r\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200b\ufeff", "'s", "'re", " \n", "  "]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 14))) for _ in range(3000)]
+    want = encoder._whole(texts)
+    slow = []
+    monkeypatch.setattr(encoder, "_whole", lambda some: slow.extend(some) or [b""] * len(some))
+    assert encoder.encode([*texts, f"a  {encoder.added[0]}"])[:-1] == want
+    assert slow == [f"a  {encoder.added[0]}"]
+
+
 def test_token_counts(docs, rows, none):
     encoder = Encoder.of(default_tokenizer())
     got = token_counts.count_tokens(docs, block_ids=997)
